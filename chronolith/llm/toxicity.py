@@ -16,7 +16,7 @@ MAX_TRAIN = 6000  # labelled rows that training may gather, whatever the size of
 BITS = 18
 FOLDS = 3
 REJECT = 0.4
-MARKED = 4.0  # standard errors by which a word must depart from independence to enter a model
+MARKED = 5.0  # standard errors by which a word must depart from independence to enter a model
 
 
 def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
