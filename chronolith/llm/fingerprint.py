@@ -191,7 +191,8 @@ def fingerprints(docs: DataFrame, match: float = MATCH) -> DataFrame:
     posts = made.select("doc_id", F.explode("features").alias("f"))
     first = F.first("doc_id").over(Window.partitionBy("f").orderBy("doc_id"))
     pairs = posts.select(F.col("doc_id").alias("id"), first.alias("match_id")).filter("id <> match_id").distinct()
-    one = made.select(F.col("doc_id").alias("id"), "digest", F.size("features").alias("n")).dropDuplicates(["id", "digest"])
+    # by id first: its partitions serve the removal of repeated rows and both joins, so digests move once
+    one = made.select(F.col("doc_id").alias("id"), "digest", F.size("features").alias("n")).repartition("id").dropDuplicates(["id", "digest"])
     other = one.select(F.col("id").alias("match_id"), F.col("digest").alias("digest_"), F.col("n").alias("n_"))
     score = F.pandas_udf(_compare_many, DoubleType())
     scored = pairs.join(one, "id").join(other, "match_id").select("id", "match_id", "digest", score("digest", "n", "digest_", "n_").alias("s"))
