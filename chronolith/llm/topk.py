@@ -15,6 +15,7 @@ K = 10
 ONE = 1 << 29  # a cosine of 1 on the integer scale of the scores
 BITS = (18, 6, 0)  # log2 of the bin width of each round of refinement
 ROWS = 4096  # vectors of a block
+STRIP = 128  # queries of a block whose scores are held at once
 
 
 def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
@@ -34,13 +35,16 @@ def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
 
 
 def _pairs(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]]:
-    """Query ids, integer scores (queries x corpus; own id below all), corpus ids and the query rows of each block pair."""
+    """Query ids, integer scores (queries x corpus; own id below all), corpus ids and query rows, by strips of each block pair."""
     for i in range(batch.num_rows):
         q, c = batch.column("queries")[i].values, batch.column("corpus")[i].values
-        qi, ci = q.field("id").to_numpy(), c.field("id").to_numpy()
-        s = np.rint(_matrix(q.field("v"), dims) @ _matrix(c.field("v"), dims).T * ONE).astype(np.int64) + ONE
-        s[qi[:, None] == ci[None, :]] = -1
-        yield qi, s, ci, q
+        ci, cm = c.field("id").to_numpy(), _matrix(c.field("v"), dims).T
+        for at in range(0, len(q), STRIP):  # a strip's scores are all that is held at once
+            part = q.slice(at, STRIP)
+            qi = part.field("id").to_numpy()
+            s = np.rint(_matrix(part.field("v"), dims) @ cm * ONE).astype(np.int64) + ONE
+            s[qi[:, None] == ci[None, :]] = -1
+            yield qi, s, ci, part
 
 
 def _histograms(k: int, bits: int, dims: int) -> Callable:
