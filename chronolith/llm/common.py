@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch, where the session doesn't say otherwise: Spark's 10,000 rows of long texts fill
+#: buffers of tens of MB on both sides of every Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def _give_back() -> None:
+    """Workers are reused: what a task no longer needs goes back to the system, not to the next task's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """`mapInArrow` in small batches, by tasks that give their memory back."""
+    conf = df.sparkSession.conf
+    for name, small in BATCHES.items():
+        if conf.get(name, None) is None:
+            conf.set(name, small)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that `df` doesn't have (names compare without case)."""
     have, name = {c.lower() for c in df.columns}, base

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .bytesops import batches_of, column_bytes, mix64
-from .common import materialize
+from .common import in_arrow, materialize
 
 WIDTH = 64  # bytes of a feature, and features of a popularity window
 POPULAR = 16  # windows that must elect a feature
@@ -69,7 +69,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """Rank of each entropy score: the rarer over all windows of all documents, the lower; weak scores rank last."""
-    counts = docs.select("text").mapInArrow(_counts, "score bigint, n bigint").groupBy("score").agg(F.sum("n").alias("n"))
+    counts = in_arrow(docs.select("text"), _counts, "score bigint, n bigint").groupBy("score").agg(F.sum("n").alias("n"))
     rows = sorted((r.n, r.score) for r in counts.collect())  # at most 1001
     rank = np.full(LEVELS + 1, _NONE, np.int64)
     for i, (_, score) in enumerate(rows):
@@ -187,7 +187,7 @@ def fingerprints(docs: DataFrame, match: float = MATCH) -> DataFrame:
     table gives an empty result.  Other columns are ignored, whatever their names.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    made = materialize(d.mapInArrow(_digests(rarity(d)), "doc_id bigint, features array<bigint>, digest binary"), "digests")
+    made = materialize(in_arrow(d, _digests(rarity(d)), "doc_id bigint, features array<bigint>, digest binary"), "digests")
     posts = made.select("doc_id", F.explode("features").alias("f"))
     first = F.first("doc_id").over(Window.partitionBy("f").orderBy("doc_id"))
     pairs = posts.select(F.col("doc_id").alias("id"), first.alias("match_id")).filter("id <> match_id").distinct()

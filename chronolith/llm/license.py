@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import batches_of, column_bytes, word_hash, words
+from .common import in_arrow
 
 COVERAGE = 0.8
 TEMPLATES = {
@@ -198,4 +199,4 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     schema = "doc_id bigint, license string, n_words bigint, coverage double, start bigint, end bigint, found string"
-    return d.mapInArrow(scanner(TEMPLATES if templates is None else templates, coverage), schema)
+    return in_arrow(d, scanner(TEMPLATES if templates is None else templates, coverage), schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .bytesops import batches_of, column_bytes, mix64, words
-from .common import fresh, materialize
+from .common import fresh, in_arrow, materialize
 
 BINS = 128
 ROWS = 4  # bins of a band; their 4 x 16 bits are the band's bucket
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     empty result.  Other columns are ignored, whatever their names.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    sigs = materialize(d.mapInArrow(_scan, "doc_id bigint, sig binary"), "signatures")
+    sigs = materialize(in_arrow(d, _scan, "doc_id bigint, sig binary"), "signatures")
     classes = materialize(sigs.groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
     equal = sigs.join(classes, "sig").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     width = 2 * ROWS

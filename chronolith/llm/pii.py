@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import FOLD, batches_of, column_bytes, word_hash, words
+from .common import in_arrow
 
 # One source character for one target character: offsets stay as they are.
 HOMOGLYPHS = str.maketrans(
@@ -256,7 +257,7 @@ def pii(docs: DataFrame) -> DataFrame:
     columns are ignored, whatever their names.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
-    return d.mapInArrow(_find_rows, "doc_id bigint, kind string, start bigint, end bigint, value string, found string")
+    return in_arrow(d, _find_rows, "doc_id bigint, kind string, start bigint, end bigint, value string, found string")
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
@@ -278,4 +279,4 @@ def mask_documents(docs: DataFrame) -> DataFrame:
                     cols[size] = pc.replace_with_mask(cols[size], chosen, pa.array([len(b) for _, b in hit], cols[size].type))
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_arrow, materialize
 
 K = 10
 ONE = 1 << 29  # a cosine of 1 on the integer scale of the scores
@@ -108,7 +108,7 @@ def topk(vectors: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
     bounds = v.select("id", F.lit(0).cast("long").alias("lo"), F.lit(2 * ONE + 1).cast("long").alias("hi"), F.lit(0).cast("long").alias("above"))
     for bits in BITS:
         pairs = packed(v.join(bounds, "id"), "queries", "lo", "hi").crossJoin(corpus)
-        bins = pairs.mapInArrow(_histograms(k, bits, dims), "id bigint, bin bigint, n bigint").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+        bins = in_arrow(pairs, _histograms(k, bits, dims), "id bigint, bin bigint, n bigint").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("id").orderBy(F.desc("bin"))
         bins = bins.join(bounds.select("id", "above"), "id").withColumn("upto", F.col("above") + F.sum("n").over(down))
         found = bins.filter(f"upto >= {k} AND upto - n < {k}").select(
@@ -120,7 +120,7 @@ def topk(vectors: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
         if bounds.filter(f"n > {k}").isEmpty():
             break
     hits = packed(v.join(bounds.select("id", "lo"), "id"), "queries", "lo").crossJoin(corpus)
-    hits = hits.mapInArrow(_hits(dims), "query_id bigint, vec_id bigint, s bigint")
+    hits = in_arrow(hits, _hits(dims), "query_id bigint, vec_id bigint, s bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", F.round((F.col("s") - ONE) / ONE, 6).alias("score"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import batches_of, column_bytes, mix64, words
+from .common import in_arrow
 
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 MAX_TRAIN = 6000  # labelled rows that training may gather, whatever the size of the tables
@@ -105,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, max_train: i
     flat = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in labels.columns if c != "doc_id"])
     picked = flat.select("doc_id", y.alias("labels")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_train)
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    got = texts.select("text", "labels").mapInArrow(_collect_features, "labels array<double>, features array<int>, n bigint").toArrow()
+    got = in_arrow(texts.select("text", "labels"), _collect_features, "labels array<double>, features array<int>, n bigint").toArrow()
     # the order in which rows arrive must not matter
     rows = sorted(zip(got["features"].to_pylist(), got["labels"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (x[2], x[0], str(x[1])))
     if not rows:
@@ -162,7 +163,7 @@ def score(docs: DataFrame, models: list, chain: tuple = CHAIN, reject: float = R
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *names, "rejected"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(run, f"doc_id bigint, {', '.join(f'{c} double' for c in names)}, rejected boolean")
+    return in_arrow(d, run, f"doc_id bigint, {', '.join(f'{c} double' for c in names)}, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame, models: list, reject: float = REJECT) -> DataFrame:
@@ -176,4 +177,4 @@ def drop_rejected(docs: DataFrame, models: list, reject: float = REJECT) -> Data
             yield batch.filter(pa.array(~bad))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
