@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .bytesops import batches_of, column_bytes, mix64
 from .common import in_arrow, materialize
@@ -23,6 +22,7 @@ BITS = 2048  # of a filter
 FULL = 160  # features of a filter
 HASHES = 5
 MATCH = 40.0
+BLOCK = 1024  # digests, and filters, that are compared at once
 _F = np.array([0] + [round(c * np.log2(c) * 65536) for c in range(1, WIDTH + 2)], np.int64)
 _D = _F[:-1] - _F[1:]
 _TOP = 6 * WIDTH * 65536
@@ -128,22 +128,43 @@ def bloom(features: np.ndarray) -> bytes:
     return np.packbits(filters, axis=1).tobytes()
 
 
+def _features(col: pa.Array, rank: np.ndarray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Ranges of rows and the distinct features of each of their texts, in order."""
+    raw, off = column_bytes(col)
+    for i, j in batches_of(raw, off, 1 << 18):
+        part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        doc, at = select(part, o, rank)
+        h, lists = feature_hashes(part, at), []
+        for x in np.split(h, np.searchsorted(doc, np.arange(1, j - i))):
+            _, first = np.unique(x, return_index=True)
+            lists.append(x[np.sort(first)])
+        yield i, j, lists
+
+
+def digest_class(n: int, digest: bytes) -> int:
+    """Texts with the same digest of as many features are one class in the comparison, named by 64 bits of a hash."""
+    return int.from_bytes(hashlib.blake2b(digest, digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
 def _digests(rank: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = column_bytes(batch.column("text"))
-            for i, j in batches_of(raw, off, 1 << 18):
-                part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                doc, at = select(part, o, rank)
-                h = feature_hashes(part, at)
-                lists, blobs = [], []
-                for x in np.split(h, np.searchsorted(doc, np.arange(1, j - i))):
-                    _, first = np.unique(x, return_index=True)
-                    x = x[np.sort(first)]
-                    lists.append(x.view(np.int64))
-                    blobs.append(bloom(x))
-                cols = [batch.column("doc_id").slice(i, j - i), pa.array(lists, pa.list_(pa.int64())), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "features", "digest"])
+            for i, j, lists in _features(batch.column("text"), rank):
+                blobs, sizes = [bloom(x) for x in lists], [len(x) for x in lists]
+                names = [digest_class(n, d) for n, d in zip(sizes, blobs, strict=True)]
+                cols = [batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(names, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "digest", "c"])
+
+    return run
+
+
+def _posts(rank: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, lists in _features(batch.column("text"), rank):
+                sizes = [len(x) for x in lists]
+                names = np.array([digest_class(n, bloom(x)) for n, x in zip(sizes, lists, strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.repeat(names, sizes))], names=["f", "c"])
 
     return run
 
@@ -169,39 +190,109 @@ def compare(a: bytes, na: int, b: bytes, nb: int) -> float:
     return round(float(score.max(axis=1).mean() * 100), 3)
 
 
-def _compare_many(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
-    return pd.Series([compare(*x) for x in zip(a, na, b, nb, strict=True)], dtype="float64")
+def _runs(filters: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of digests of about `BLOCK` filters together, one digest at least."""
+    ends, i = np.cumsum(filters), 0
+    while i < len(filters):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, side="right")))
+        yield i, j
+        i = j
+
+
+def compare_all(a: list[bytes], na: np.ndarray, b: list[bytes], nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`compare(a[i], b[j])` and `compare(b[j], a[i])` of all pairs; they differ only where both have as many filters."""
+    out, back = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+
+    def prepare(d: list[bytes], n: np.ndarray) -> tuple:
+        k = -(-n // FULL)
+        start = np.cumsum(k) - k
+        raw = np.frombuffer(b"".join(d), np.uint8).reshape(-1, BITS // 8)
+        in_filter = np.minimum(FULL, np.repeat(n, k) - FULL * (np.arange(len(raw)) - np.repeat(start, k)))
+        bits = np.unpackbits(raw, axis=1)
+        return k, start, bits.astype(np.float32), bits.sum(axis=1, dtype=np.int64), (1 - 1 / BITS) ** (HASHES * in_filter)
+
+    for i, j in _runs(-(-na // FULL)):
+        ka, sa, xa, ones_a, ea = prepare(a[i:j], na[i:j])
+        for k, m in _runs(-(-nb // FULL)):
+            kb, sb, xb, ones_b, eb = prepare(b[k:m], nb[k:m])
+            common, most = (xa @ xb.T).astype(np.float64), np.minimum(ones_a[:, None], ones_b[None, :])  # whole numbers to 2048: exact
+            chance = BITS * (1 - ea[:, None] - eb[None, :] + ea[:, None] * eb[None, :])
+            cut = 0.3 * (most - chance) + chance
+            score = np.clip((common - cut) / np.maximum(most - cut, 1e-9), 0, 1)
+            ab = np.add.reduceat(np.maximum.reduceat(score, sb, axis=1), sa, axis=0) / ka[:, None]
+            ba = np.add.reduceat(np.maximum.reduceat(score, sa, axis=0), sb, axis=1) / kb[None, :]
+            fewer, more = ka[:, None] < kb[None, :], ka[:, None] > kb[None, :]
+            out[i:j, k:m], back[i:j, k:m] = np.where(more, ba, ab), np.where(fewer, ab, ba)
+    return np.round(out * 100, 3), np.round(back * 100, 3)
+
+
+def _matches(match: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i, j = batch.column("i")[row].as_py(), batch.column("j")[row].as_py()
+                m = batch.column("m")[row].values
+                c, n, block = (m.field(x).to_numpy() for x in ("c", "n", "block"))
+                digests = m.field("digest").to_pylist()
+                x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                out, back = compare_all([digests[k] for k in x], n[x], [digests[k] for k in y], n[y])
+                good = np.maximum(out, back) >= match
+                p, q = np.nonzero(np.triu(good, 1) if i == j else good)
+                first = c[x[p]] < c[y[q]]  # a pair that meets again at another feature has to come out the same
+                a, b = np.where(first, c[x[p]], c[y[q]]), np.where(first, c[y[q]], c[x[p]])
+                ab, ba = np.where(first, out[p, q], back[p, q]), np.where(first, back[p, q], out[p, q])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ab), pa.array(ba)], names=["a", "b", "ab", "ba"])
+
+    return run
 
 
 def fingerprints(docs: DataFrame, match: float = MATCH) -> DataFrame:
-    """The digest of every document, and its best match among earlier documents.
+    """The digest of every document, all documents that match it, and the best match among earlier ones.
 
     One pass ranks entropy scores by how rare they are over all windows of all documents; a second selects features,
-    hashes them and fills the filters.  For the comparison each feature leads to the first document (smallest
-    doc_id) that has it, so candidates grow with the features and not with the square of a shared passage; the digests
-    of each such pair are compared, and the best score of at least `match` is reported (ties: the smaller doc_id).
-
-    Result: doc_id, n_features, digest (base64 of 256 bytes a filter), match_id, match_score.
+    hashes them and fills the filters.  Documents with equal digests are one class.  Every two classes that share a
+    feature are compared, however many have it: the classes of a feature are a set, features with the same set count
+    once, and a set is compared block by block, so digests move with the sets and never with the pairs.  Comparisons
+    grow with the square of a shared passage's documents, as the matches among them may.
+
+    Result: doc_id, n_features, digest (base64 of 256 bytes a filter), match_id and match_score (the best of the
+    matches with a smaller doc_id; ties: the smallest), matches (array of match_id, match_score by match_id: every
+    document, earlier or later, that shares a feature and scores at least `match`; of two digests with as many filters
+    the larger doc_id's filters take their partners in the other's).
     Null and empty texts, and texts under 64 bytes, have no feature, an empty digest and no match.  Rows without
     doc_id are left out.  Rows that repeat a doc_id get a row each, and match no row of their own doc_id.  An empty
     table gives an empty result.  Other columns are ignored, whatever their names.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    made = materialize(in_arrow(d, _digests(rarity(d)), "doc_id bigint, features array<bigint>, digest binary"), "digests")
-    posts = made.select("doc_id", F.explode("features").alias("f"))
-    first = F.first("doc_id").over(Window.partitionBy("f").orderBy("doc_id"))
-    pairs = posts.select(F.col("doc_id").alias("id"), first.alias("match_id")).filter("id <> match_id").distinct()
-    # by id first: its partitions serve the removal of repeated rows and both joins, so digests move once
-    one = made.select(F.col("doc_id").alias("id"), "digest", F.size("features").alias("n")).repartition("id").dropDuplicates(["id", "digest"])
-    other = one.select(F.col("id").alias("match_id"), F.col("digest").alias("digest_"), F.col("n").alias("n_"))
-    score = F.pandas_udf(_compare_many, DoubleType())
-    scored = pairs.join(one, "id").join(other, "match_id").select("id", "match_id", "digest", score("digest", "n", "digest_", "n_").alias("s"))
-    best = scored.filter(F.col("s") >= match).groupBy("id", "digest").agg(F.max(F.struct("s", (-F.col("match_id")).alias("m"))).alias("b"))
-    best = best.select("id", F.col("digest").alias("of"), "b")
-    out = made.join(best, (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("of")), "left")
-    return out.select(
-        "doc_id", F.size("features").alias("n_features"), F.base64("digest").alias("digest"), (-F.col("b.m")).alias("match_id"), F.col("b.s").alias("match_score")
-    )
+    rank = rarity(d)
+    made = materialize(in_arrow(d, _digests(rank), "doc_id bigint, n bigint, digest binary, c bigint"), "digests")
+    # texts are read again for the features: they would take more room on disk than everything else
+    posts = in_arrow(d.select("text"), _posts(rank), "f bigint, c bigint")
+    by_feature = Window.partitionBy("f")
+    shared = posts.select("f", "c", F.min("c").over(by_feature).alias("low"), F.max("c").over(by_feature).alias("high")).filter("low < high")
+    sets = materialize(shared.groupBy("f").agg(F.array_sort(F.collect_set("c")).alias("m")).select("m").distinct(), "sets")
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    members = sets.select("id", F.size("m").alias("size"), F.posexplode("m").alias("at", "c")).withColumn("block", F.expr(f"at div {BLOCK}"))
+    meet = members.withColumn("other", F.explode(F.expr(f"sequence(0L, (size - 1) div {BLOCK})")))
+    meet = meet.select("id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    classes = made.filter("n > 0").select("c", "n", "digest").dropDuplicates(["c"])
+    groups = meet.join(classes, "c").groupBy("id", "i", "j").agg(F.collect_list(F.struct("block", "c", "n", "digest")).alias("m"))
+    pairs = materialize(in_arrow(groups.select("i", "j", "m"), _matches(match), "a bigint, b bigint, ab double, ba double").dropDuplicates(["a", "b"]), "pairs")
+    # own: the score if one's own doc_id is the larger; its: if the other's is
+    ids = made.filter("n > 0").select(F.col("c").alias("of"), F.col("doc_id").alias("match_id")).distinct()
+    equal = ids.groupBy("of").count().filter("count > 1").select(F.col("of").alias("c"), "of", F.lit(100.0).alias("own"), F.lit(100.0).alias("its"))
+    forth = pairs.select(F.col("a").alias("c"), F.col("b").alias("of"), F.col("ab").alias("own"), F.col("ba").alias("its"))
+    back = pairs.select(F.col("b").alias("c"), F.col("a").alias("of"), F.col("ba").alias("own"), F.col("ab").alias("its"))
+    linked = forth.unionByName(back).unionByName(equal.filter(F.lit(match <= 100))).join(ids, "of")
+    lists = linked.groupBy("c").agg(F.collect_list(F.struct("match_id", "own", "its")).alias("all"))
+    out = made.join(lists, "c", "left")
+    score = "CAST(IF(x.match_id < doc_id, x.own, x.its) AS DOUBLE)"
+    mine = f"transform(filter(all, x -> x.match_id <> doc_id), x -> struct(x.match_id AS match_id, {score} AS match_score))"
+    found = F.expr(f"coalesce(array_sort(filter({mine}, x -> x.match_score >= {float(match)!r}D)), array())")
+    out = out.select("doc_id", F.col("n").cast("int").alias("n_features"), F.base64("digest").alias("digest"), found.alias("matches"))
+    best = F.expr("array_max(transform(filter(matches, x -> x.match_id < doc_id), x -> struct(x.match_score AS s, -x.match_id AS m)))")
+    out = out.withColumn("best", best)
+    return out.select("doc_id", "n_features", "digest", (-F.col("best.m")).alias("match_id"), F.col("best.s").alias("match_score"), "matches")
 
 
 def decode(digest: str) -> bytes:

@@ -115,6 +115,41 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.fingerprints(none).count() == 0 and Counter(r.doc_id for r in fingerprint.fingerprints(odd).collect())[1] == 2
 
 
+def test_fingerprints_report_every_pair(spark):
+    """A later copy whose features all occurred in earlier, different documents; a passage many share; blocks."""
+    rng = np.random.default_rng(5)
+
+    def noise(n):
+        return "".join(chr(c) for c in rng.integers(97, 123, n))
+
+    a, b, passage = noise(4000), noise(4000), noise(700)
+    long = noise(60000)
+    rows = [(1, a + noise(9000)), (2, b + noise(9000)), (3, a + b), (4, a + b), (5, a + b + noise(40)), (6, long), (7, long[:50000] + noise(9000)), (7, b), (8, "short")]
+    rows += [(10 + i, noise(300) + passage + noise(20 * i)) for i in range(30)]
+    d = docs(spark, [(i, t, "s") for i, t in rows])
+    rank, blobs = fingerprint.rarity(d), []
+    for i, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        f = fingerprint.feature_hashes(raw, fingerprint.select(raw, np.array([0, len(raw)]), rank)[1])
+        f = np.array(list(dict.fromkeys(f.tolist())), np.uint64)
+        blobs.append((i, set(f.tolist()), fingerprint.bloom(f)))
+    want = {}
+    for i, f, x in blobs:
+        found = []
+        for k, g, y in blobs:
+            if i != k and f & g:
+                s = fingerprint.compare(x, len(f), y, len(g)) if k < i else fingerprint.compare(y, len(g), x, len(f))
+                found += [(k, s)] * (s >= fingerprint.MATCH)
+        best = max(((s, -k) for k, s in found if k < i), default=(None, None))
+        want[i, len(f)] = sorted(found), best[1] and -best[1], best[0]
+    assert sum(len(x[0]) for x in want.values()) > 300 and (3, 100.0) in want[4, len(blobs[3][1])][0]
+    for block in (fingerprint.BLOCK, 7):
+        with pytest.MonkeyPatch.context() as p:
+            p.setattr(fingerprint, "BLOCK", block)
+            got = fingerprint.fingerprints(d).collect()
+        assert {(r.doc_id, r.n_features): ([tuple(x) for x in r.matches], r.match_id, r.match_score) for r in got} == want
+
+
 def test_pii_spans_lead_back_to_the_source(spark, odd, none):
     text = "Write to jane [at] example [dot] org or ｊоhn@example.com, call +1 555-123-4567 or five five five one two three four; card 4111 1111 1111 1111. Meet at noon."
     got = pii.pii(docs(spark, [(1, text, "s")])).collect()
