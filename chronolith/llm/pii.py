@@ -44,8 +44,10 @@ _SIGN = re.compile(
 _LOCAL = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
-_CARD = re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?!\d)")
-_CARD_SHAPE = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}")
+_CARD = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,}")
+# At every digit of such a run; a number without separators counts as a whole.
+_CARD_SHAPE = re.compile(r"(?=((?<!\d)\d{13,19}(?!\d)|\d{4}([ -])\d{4}\2\d{4}\2\d{4}|\d{4}([ -])\d{6}\3\d{5}))")
+_ISSUER = re.compile(r"4|5[1-5]|3[0-9]|6|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)")
 _SSN = re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])")
 _PHONE = re.compile(
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}([ .-])\d{3}\1\d{4})(?!\w|\.\d)"
@@ -110,6 +112,21 @@ def _luhn(digits: str) -> bool:
     return total > 0 and total % 10 == 0
 
 
+def _cards(run: str) -> list[tuple[int, int]]:
+    """Spans of the cards in a run of digits and separators, best first; other numbers may stand right beside them.
+
+    Overlapping ones are all listed: those that neither begin nor end inside a number come first, then those with the
+    first digits of a card issuer, then the leftmost.
+    """
+    found = []
+    for y in _CARD_SHAPE.finditer(run):
+        a, b = y.span(1)
+        if _luhn(re.sub(r"\D", "", y.group(1))):
+            whole = not run[max(a - 1, 0) : a].isdigit() and not run[b : b + 1].isdigit()
+            found.append((not whole, not _ISSUER.match(run, a), a, b))
+    return [x[2:] for x in sorted(found)]
+
+
 class Mapped:
     """A normalised text and the way back to the characters of its source."""
 
@@ -175,8 +192,9 @@ def normalise(text: str, may: int = EVERYTHING) -> Mapped:
 def find(text: str, may: int = EVERYTHING) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, normalised value) of every identifier, in source characters, without overlaps.
 
-    Kinds, the first taking precedence on overlap: email, ip, card (13 to 19 digits with a valid check digit), ssn,
-    phone, secret (a long value assigned to a name like api_key).
+    Kinds, the first taking precedence on overlap: email, ip, card (13 to 19 digits with a valid check digit, wherever
+    it stands in a run of digits and separators; of overlapping ones the best by `_cards`), ssn, phone, secret (a long
+    value assigned to a name like api_key).
     """
     m = normalise(text, may)
     t, found = m.text, []
@@ -199,10 +217,8 @@ def find(text: str, may: int = EVERYTHING) -> list[tuple[str, int, int, str]]:
         for x in _IP.finditer(t):
             add("ip", *x.span())
         for x in _CARD.finditer(t):
-            # two numbers may stand side by side
-            for y in _CARD_SHAPE.finditer(x.group()):
-                if _luhn(re.sub(r"\D", "", y.group())):
-                    add("card", x.start() + y.start(), x.start() + y.end())
+            for a, b in _cards(x.group()):
+                add("card", x.start() + a, x.start() + b)
         for kind, rule in (("ssn", _SSN), ("phone", _PHONE)):
             for x in rule.finditer(t):
                 if kind == "ssn" or 7 <= sum(c.isdigit() for c in x.group()) <= 15:

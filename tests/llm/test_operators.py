@@ -160,6 +160,15 @@ def test_pii_spans_lead_back_to_the_source(spark, odd, none):
     assert pii.pii(odd).count() == 0 and pii.pii(none).count() == 0 and pii.mask_documents(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005", "4111111111111111"])
+@pytest.mark.parametrize("beside", ["2024-05-01", "555-123-4567", "12345", "1", "1234 5678", "20240501", "2024-05-01 12-30 7", "5500 0000 0000 0004", "99999999999999999999999"])
+def test_cards_beside_other_digits(card, beside):
+    for text in (f"{beside} {card}", f"{card} {beside}", f"paid {beside} {card} {beside}."):
+        assert ("card", card) in {(kind, found) for kind, _, _, found in pii.find(text)}, text
+        assert card not in pii.mask(text)
+    assert not any(kind == "card" for kind, *_ in pii.find("99999999994111111111111111 and 4111 1111 1111 1112"))
+
+
 def test_patience_is_a_common_subsequence(spark, odd, none):
     rng = np.random.default_rng(3)
     for _ in range(200):
