@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,33 +17,62 @@ from .bytesops import batches_of, column_bytes, word_hash, words
 from .common import in_arrow
 
 COVERAGE = 0.8
-TEMPLATES = {
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+    "the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This program is "
+    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+    "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+)
+_GNU_NAMES = {"GPL": "General Public License", "LGPL": "Lesser General Public License", "AGPL": "Affero General Public License"}
+_GNU_VERSIONS = [("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")]
+_CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+#: Whole texts (X-text, from `license_texts`), standard headers (X-header) and short notices.
+TEMPLATES = {f"{p.stem}-text": p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))} | {
     "MIT": "Released under the MIT License.",
-    "MIT-text": (
+    "MIT-header": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "BSD": "Released under the BSD License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-text": (
+    "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
         "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
         'applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License."
     ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "BSD-3-text": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer."
-    ),
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under a Creative Commons Attribution 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
     "all-rights-reserved": "All rights reserved.",
 }
+#: Phrases, each word for word, without which a notice or header is another license's or another version's.
+REQUIRED = {
+    "MIT": ["MIT License"], "BSD": ["BSD License"], "Apache-2.0": ["Apache License", "Version 2.0"], "Apache-2.0-header": ["Apache License", "Version 2.0"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"], "MPL-2.0-header": ["Mozilla Public License", "2.0"], "all-rights-reserved": ["All rights reserved"],
+    "Apache-2.0-text": ["Apache License Version 2.0"], "BSD-3-text": ["endorse or promote"], "CC-BY-SA-4.0-text": ["Attribution-ShareAlike 4.0 International"],
+    "GPL-2.0-text": ["GNU General Public License Version 2"], "GPL-3.0-text": ["GNU General Public License Version 3"],
+    "LGPL-2.0-text": ["GNU Library General Public License Version 2"], "LGPL-2.1-text": ["GNU Lesser General Public License Version 2.1"],
+    "LGPL-3.0-text": ["GNU Lesser General Public License Version 3"], "MPL-1.1-text": ["Mozilla Public License Version 1.1"], "MPL-2.0-text": ["Mozilla Public License Version 2.0"],
+}
+for _kind, _version in _GNU_VERSIONS:
+    _name, _short = _GNU_NAMES[_kind], _version.removesuffix(".0")
+    TEMPLATES[f"{_kind}-{_version}"] = f"This work is licensed under the GNU {_name}, version {_short}."
+    TEMPLATES[f"{_kind}-{_version}-header"] = _GNU.format(name=_name, version=_short)
+    REQUIRED[f"{_kind}-{_version}"] = REQUIRED[f"{_kind}-{_version}-header"] = [f"GNU {_name}", f"version {_short}"]
+for _kind, _name in _CC.items():
+    TEMPLATES[f"CC-{_kind}-4.0"] = f"Licensed under CC {_kind} 4.0."
+    TEMPLATES[f"CC-{_kind}-4.0-header"] = f"Licensed under a Creative Commons {_name} 4.0 International License."
+    REQUIRED[f"CC-{_kind}-4.0"], REQUIRED[f"CC-{_kind}-4.0-header"] = [f"CC {_kind} 4.0"], [f"Creative Commons {_name} 4.0"]
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
@@ -119,19 +149,32 @@ class Scanner:
             t = np.array([word_hash(w) for w in _WORD.findall(text)], np.uint64)
             if len(t):
                 vocabulary, counts = np.unique(t, return_counts=True)
-                self.list.append((name, t.tolist(), vocabulary, counts, max(1, int(np.ceil(coverage * len(t) - 1e-9)))))
+                phrases = [np.array([word_hash(w) for w in _WORD.findall(x)], np.uint64) for x in REQUIRED.get(name, ()) if text == TEMPLATES[name]]
+                self.list.append((name, t.tolist(), vocabulary, counts, max(1, int(np.ceil(coverage * len(t) - 1e-9))), phrases))
         self.vocabulary = np.unique(np.concatenate([x[2] for x in self.list])) if self.list else np.zeros(0, np.uint64)
+        # for each word of all templates its place in the vocabulary of each template, or -1
+        self.local = [np.full(len(self.vocabulary) + 1, -1) for _ in self.list]
+        for x, to in zip(self.list, self.local, strict=True):
+            to[np.searchsorted(self.vocabulary, x[2])] = np.arange(len(x[2]))
 
     def scan(self, h: np.ndarray) -> list[tuple[str, int, int, int, float]]:
         """(template, matched words, first word, last word, coverage) of each place of a text's word hashes.
 
         A place is a stretch of at most twice the template's words.  Candidates are the stretches with enough of the
-        template's words, by count and then as a multiset, which bounds any alignment from above: none is missed.
+        template's words, by count and then as a multiset, which bounds any alignment from above: none is missed.  A
+        place without one of the template's required phrases is none.  Of overlapping places of several templates the
+        one with the most matched words stays (ties: the higher coverage, then the earlier in the text).
         """
-        out = []
-        for name, t, vocabulary, counts, need in self.list:
-            at = np.searchsorted(vocabulary, h)
-            inside = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h
+        out: list[tuple[str, int, int, int, float]] = []
+        if not self.list:
+            return out
+        spot = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        spot[self.vocabulary[spot] != h] = len(self.vocabulary)
+        for (name, t, _, counts, need, phrases), local in zip(self.list, self.local, strict=True):
+            if len(h) < need or not all(_holds(h, x) for x in phrases):
+                continue
+            at = local[spot]
+            inside = at >= 0
             hits = np.flatnonzero(inside)
             if len(hits) < need:
                 continue
@@ -141,13 +184,27 @@ class Scanner:
                 if s <= done:
                     continue
                 here = at[s : s + span][inside[s : s + span]]
-                if np.minimum(np.bincount(here, minlength=len(counts)), counts).sum() < need:
+                lacks = need - np.minimum(np.bincount(here, minlength=len(counts)), counts).sum()
+                if lacks > 0:
+                    done = int(s) + int(lacks) - 1  # a stretch gains one word at most with each step
                     continue
                 pairs = patience(t, h[s : s + span].tolist())
-                if len(pairs) >= need:
+                if len(pairs) >= need and all(_holds(h[s + pairs[0][1] : s + pairs[-1][1] + 1], x) for x in phrases):
                     first, done = int(s + pairs[0][1]), int(s + pairs[-1][1])
                     out.append((name, len(pairs), first, done, len(pairs) / len(t)))
-        return out
+        kept: list[tuple[str, int, int, int, float]] = []
+        for x in sorted(out, key=lambda x: (-x[1], -x[4], x[2], x[0])):
+            if all(x[3] < y[2] or y[3] < x[2] for y in kept):
+                kept.append(x)
+        return sorted(kept, key=lambda x: (x[2], x[0]))
+
+
+def _holds(h: np.ndarray, phrase: np.ndarray) -> bool:
+    """Whether the words of `phrase` follow each other somewhere in `h`."""
+    at = np.flatnonzero(h[: max(len(h) - len(phrase) + 1, 0)] == phrase[0])
+    for k in range(1, len(phrase)):
+        at = at[h[at + k] == phrase[k]]
+    return len(at) > 0
 
 
 def scanner(templates: dict[str, str], coverage: float):
@@ -194,8 +251,9 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
 
     Result: doc_id, license, n_words (matched), coverage, start, end (characters, end exclusive), found.
     Null and empty texts have no place.  A null doc_id is kept.  Repeated rows are scanned each for itself; a notice
-    that repeats in a text is found each time, places of one template don't overlap, and of equal choices the earlier
-    is taken.  Without templates, or over an empty table, the result is empty.  Other columns are ignored.
+    that repeats in a text is found each time, places don't overlap, and of those that would, the template with the
+    most matched words is taken.  Of AGPL and of Creative Commons other than BY-SA and CC0 only notices and headers
+    are known.  Without templates, or over an empty table, the result is empty.  Other columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     schema = "doc_id bigint, license string, n_words bigint, coverage double, start bigint, end bigint, found string"

@@ -181,6 +181,20 @@ def test_patience_is_a_common_subsequence(spark, odd, none):
     assert license.licenses(odd).count() == 0 and license.licenses(none).count() == 0 and license.licenses(odd, {}).count() == 0
 
 
+def test_licenses_tell_kin_apart(spark):
+    t = license.TEMPLATES
+    cases = {
+        "Released under the BSD License.": "BSD", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 3.0.": None,
+        t["GPL-3.0"].replace("3", "2"): "GPL-2.0", t["GPL-3.0"].replace("3", "1"): None, t["GPL-3.0"].replace("General", "Lesser General"): "LGPL-3.0",
+        t["GPL-2.0-header"].replace("redistribute it", "redistribute"): "GPL-2.0-header", t["Apache-2.0-header"]: "Apache-2.0-header", t["MPL-2.0-header"]: "MPL-2.0-header",
+        t["CC-BY-SA-4.0-text"].replace("ShareAlike 4.0", "4.0"): None,
+    } | {t[f"{x}-text"]: f"{x}-text" for x in ("MIT", "BSD-2", "BSD-3", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0", "CC0-1.0")}
+    got = {}
+    for r in license.licenses(docs(spark, [(i, f"Before it. {x} After it.", "s") for i, x in enumerate(cases)])).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert {i: got.get(i, [None]) for i in range(len(cases))} == {i: [x] for i, x in enumerate(cases.values())}
+
+
 def test_toxicity_on_held_out_rows(spark, odd, none):
     rng = np.random.default_rng(4)
     rows, labels = [], []
