@@ -1,8 +1,9 @@
 """Vectorised byte and word hashing over Arrow string columns.
 
 Every function works on the raw UTF-8 bytes of a column, so a batch costs a fixed number of NumPy passes and no
-Python object per word.  Words are maximal runs of ASCII letters, digits and bytes above 127; ASCII upper case is
-folded.  Long texts are cut at word boundaries, so memory stays bounded whatever the length of one text.
+Python object per word.  Words are maximal runs of ASCII letters, digits and characters above 127 other than the
+punctuation and blanks of U+0080-U+00BF, U+2000-U+206F and U+3000-U+303F; ASCII upper case is folded.  Long texts are
+walked in pieces, and a word across pieces is hashed as a whole.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 FOLD, VALUE = _tables()
+ASCII_VALUE = np.where(np.arange(256) < 128, VALUE, np.uint64(0))  # all that isn't ASCII separates words
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -70,7 +72,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about PIECE bytes that end where a text or a word ends; a word longer than a piece is cut."""
+    """Byte ranges of about PIECE bytes that end where a text, a word or, in a longer word, a character ends."""
     at, n = 0, len(raw)
     while at < n:
         end = min(n, at + PIECE)
@@ -81,34 +83,56 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
             else:
                 gaps = np.flatnonzero(FOLD[raw[at:end]] == 0)
                 end = at + int(gaps[-1]) + 1 if len(gaps) else end
+                while end > at + 1 and raw[end] & 0xC0 == 0x80:
+                    end -= 1
         yield at, end
         at = end
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and start byte of every word of the column, in order."""
+def blank_marks(r: np.ndarray, v: np.ndarray) -> None:
+    """Set the values of punctuation and blanks above 127 to 0."""
+    for lead, second in ((0xC2, ()), (0xE2, (0x80, 0x81)), (0xE3, (0x80,))):
+        at = np.flatnonzero(r[:-1] == lead)
+        if not len(at):
+            continue
+        if second:
+            at = at[np.isin(r[at + 1], second)]
+            v[np.minimum(at + 2, len(v) - 1)] = 0
+        v[at] = v[at + 1] = 0
+
+
+def words(raw: np.ndarray, off: np.ndarray, value: np.ndarray = VALUE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and start byte of every word of the column, in order; bytes of `value` 0 separate words."""
     up, down = _powers()
     hashes, starts = [], []
     for a, b in pieces(raw, off):
-        v = VALUE[raw[a:b]]
+        v = value[raw[a:b]]
+        if value is VALUE:
+            blank_marks(raw[a:b], v)
         is_word = v != 0
         first = is_word.copy()
         first[1:] &= ~is_word[:-1]
-        cut = off[np.searchsorted(off, a) : np.searchsorted(off, b)] - a  # a text starts a word of its own
-        cut = cut[(cut >= 0) & (cut < b - a)]
+        low = int(np.searchsorted(off, a))
+        cut = off[low : np.searchsorted(off, b)] - a  # a text starts a word of its own
         first[cut] |= is_word[cut]
         s = np.flatnonzero(first)
         if not len(s):
+            on = False
             continue
         with np.errstate(over="ignore"):
             v *= up[: b - a]
             h = np.add.reduceat(v, s) * down[s]
-        hashes.append(mix64(h))
-        starts.append(s + a)
+            if starts and on and s[0] == 0 and off[low] != a:  # the word before the cut goes on
+                hashes[-1][-1] += h[0] * np.uint64(pow(_P, a - int(starts[-1][-1]), 1 << 64))
+                h, s = h[1:], s[1:]
+        on = bool(is_word[-1])
+        if len(s):
+            hashes.append(h)
+            starts.append(s + a)
     if not hashes:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z
-    h, s = np.concatenate(hashes), np.concatenate(starts)
+    h, s = mix64(np.concatenate(hashes)), np.concatenate(starts)
     return h, np.searchsorted(off, s, side="right") - 1, s
 
 
@@ -122,7 +146,7 @@ def batches_of(raw: np.ndarray, off: np.ndarray, limit: int = 4 * PIECE) -> Iter
 
 
 def word_hash(word: str) -> int:
-    """The hash that `words` gives to one word."""
+    """The hash that `words` gives to one word; of a name that isn't one word, the first."""
     raw = np.frombuffer(word.encode(), dtype=np.uint8)
     h, _, _ = words(raw, np.array([0, len(raw)]))
     return int(h[0]) if len(h) else 0

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 WHITE = "[ \\t\\n\\r\\f]+"  # what separates tokens, spelled out so that every regex engine agrees
 _own: dict[str, str] = {}
@@ -64,6 +65,11 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def with_id(df: DataFrame, rest: str) -> StructType:
+    """Schema of `doc_id`, typed as in `df`, and the fields of the DDL string `rest`."""
+    return StructType([StructField("doc_id", df.schema["doc_id"].dataType), *StructType.fromDDL(rest).fields])
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that `df` doesn't have (names compare without case)."""
     have, name = {c.lower() for c in df.columns}, base

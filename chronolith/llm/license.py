@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -11,10 +10,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .bytesops import batches_of, column_bytes, word_hash, words
-from .common import in_arrow
+from .bytesops import VALUE, batches_of, blank_marks, column_bytes, words
+from .common import in_arrow, with_id
 
 COVERAGE = 0.8
 _GNU = (
@@ -73,7 +71,11 @@ for _kind, _name in _CC.items():
     TEMPLATES[f"CC-{_kind}-4.0"] = f"Licensed under CC {_kind} 4.0."
     TEMPLATES[f"CC-{_kind}-4.0-header"] = f"Licensed under a Creative Commons {_name} 4.0 International License."
     REQUIRED[f"CC-{_kind}-4.0"], REQUIRED[f"CC-{_kind}-4.0-header"] = [f"CC {_kind} 4.0"], [f"Creative Commons {_name} 4.0"]
-_WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
+
+
+def word_hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return words(raw, np.array([0, len(raw)]))[0]
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -140,16 +142,36 @@ def _common(a: list, b: list, i: int, j: int, k: int, m: int) -> list[tuple[int,
     return out
 
 
+def tighten(b: list, pairs: list[tuple[int, int]], a: list) -> list[tuple[int, int]]:
+    """The same matched words of `a` on the shortest stretch of `b` that keeps the last match, then the first.
+
+    From the end each match moves to the last place before its successor, which gives the latest start; then from the
+    start each moves to the first place behind its predecessor, which gives the earliest end.
+    """
+    places = [y for _, y in pairs]
+    for k in range(len(pairs) - 2, -1, -1):
+        w, y = a[pairs[k][0]], places[k + 1] - 1
+        while b[y] != w:
+            y -= 1
+        places[k] = y
+    for k in range(1, len(pairs)):
+        w, y = a[pairs[k][0]], places[k - 1] + 1
+        while b[y] != w:
+            y += 1
+        places[k] = y
+    return [(x, y) for (x, _), y in zip(pairs, places, strict=True)]
+
+
 class Scanner:
     """Templates prepared for many texts."""
 
     def __init__(self, templates: dict[str, str], coverage: float) -> None:
         self.coverage, self.list = coverage, []
         for name, text in sorted(templates.items()):
-            t = np.array([word_hash(w) for w in _WORD.findall(text)], np.uint64)
+            t = word_hashes(text)
             if len(t):
                 vocabulary, counts = np.unique(t, return_counts=True)
-                phrases = [np.array([word_hash(w) for w in _WORD.findall(x)], np.uint64) for x in REQUIRED.get(name, ()) if text == TEMPLATES[name]]
+                phrases = [word_hashes(x) for x in REQUIRED.get(name, ()) if text == TEMPLATES[name]]
                 self.list.append((name, t.tolist(), vocabulary, counts, max(1, int(np.ceil(coverage * len(t) - 1e-9))), phrases))
         self.vocabulary = np.unique(np.concatenate([x[2] for x in self.list])) if self.list else np.zeros(0, np.uint64)
         # for each word of all templates its place in the vocabulary of each template, or -1
@@ -162,7 +184,8 @@ class Scanner:
 
         A place is a stretch of at most twice the template's words.  Candidates are the stretches with enough of the
         template's words, by count and then as a multiset, which bounds any alignment from above: none is missed.  A
-        place without one of the template's required phrases is none.  Of overlapping places of several templates the
+        place is cut to its shortest stretch with the same matches, and aligned again from there, as long as this
+        finds more.  A place without one of the template's required phrases is none.  Of overlapping places of several templates the
         one with the most matched words stays (ties: the higher coverage, then the earlier in the text).
         """
         out: list[tuple[str, int, int, int, float]] = []
@@ -188,10 +211,10 @@ class Scanner:
                 if lacks > 0:
                     done = int(s) + int(lacks) - 1  # a stretch gains one word at most with each step
                     continue
-                pairs = patience(t, h[s : s + span].tolist())
-                if len(pairs) >= need and all(_holds(h[s + pairs[0][1] : s + pairs[-1][1] + 1], x) for x in phrases):
-                    first, done = int(s + pairs[0][1]), int(s + pairs[-1][1])
-                    out.append((name, len(pairs), first, done, len(pairs) / len(t)))
+                found = self._place(t, h, int(s), span, need)
+                if found and all(_holds(h[found[1] : found[2] + 1], x) for x in phrases):
+                    n, first, done = found
+                    out.append((name, n, first, done, n / len(t)))
         kept: list[tuple[str, int, int, int, float]] = []
         for x in sorted(out, key=lambda x: (-x[1], -x[4], x[2], x[0])):
             if all(x[3] < y[2] or y[3] < x[2] for y in kept):
@@ -199,6 +222,21 @@ class Scanner:
         return sorted(kept, key=lambda x: (x[2], x[0]))
 
 
+    def _place(self, t: list, h: np.ndarray, s: int, span: int, need: int) -> tuple[int, int, int] | None:
+        """Matches, first and last word of the place that begins at `s` or, cut to where it is densest, behind."""
+        best: tuple[int, int, int] | None = None
+        while True:
+            b = h[s : s + span].tolist()
+            pairs = patience(t, b)
+            if len(pairs) < need or best and len(pairs) <= best[0]:
+                return best
+            pairs = tighten(b, pairs, t)
+            best = (len(pairs), s + pairs[0][1], s + pairs[-1][1])
+            if len(pairs) == len(t) or best[1] == s:
+                return best
+            s = best[1]
+
+
 def _holds(h: np.ndarray, phrase: np.ndarray) -> bool:
     """Whether the words of `phrase` follow each other somewhere in `h`."""
     at = np.flatnonzero(h[: max(len(h) - len(phrase) + 1, 0)] == phrase[0])
@@ -213,7 +251,7 @@ def scanner(templates: dict[str, str], coverage: float):
         least = min((x[4] for x in tool.list), default=1)
         for batch in batches:
             raw, off = column_bytes(batch.column("text"))
-            ids, rows = batch.column("doc_id").to_pylist(), []
+            rows = []
             for i, j in batches_of(raw, off):
                 part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 h, doc, start = words(part, o)
@@ -221,25 +259,29 @@ def scanner(templates: dict[str, str], coverage: float):
                 known = tool.vocabulary[np.minimum(at, len(tool.vocabulary) - 1)] == h if len(tool.vocabulary) else np.zeros(len(h), bool)
                 enough = np.bincount(doc[known], minlength=j - i) >= least
                 begin = np.searchsorted(doc, np.arange(j - i + 1))
+                end = _ends(part, start) if enough.any() else start
                 for d in np.flatnonzero(enough):
                     a, b = begin[d], begin[d + 1]
                     for name, n, first, last, share in tool.scan(h[a:b]):
-                        x, y = int(start[a + first]), int(start[a + last])
-                        while y < o[d + 1] and _in_word(part[y]):
-                            y += 1
+                        x, y = int(start[a + first]), int(min(end[a + last], o[d + 1]))
                         head = bytes(part[o[d] : x]).decode("utf-8", "replace")
                         found = bytes(part[x:y]).decode("utf-8", "replace")
-                        rows.append((ids[i + d], name, n, round(share, 6), len(head), len(head) + len(found), found))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
+                        rows.append((int(i + d), name, n, round(share, 6), len(head), len(head) + len(found), found))
+            of, *cols = list(zip(*rows, strict=True)) or [[]] * 7
+            types = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
             names = ["doc_id", "license", "n_words", "coverage", "start", "end", "found"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+            ids = batch.column("doc_id").take(pa.array(list(of), pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], names=names)
 
     return run
 
 
-def _in_word(b: int) -> bool:
-    return b > 127 or chr(b).isalnum()
+def _ends(part: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where each word ends: at the next byte that belongs to none."""
+    v = VALUE[part]
+    blank_marks(part, v)
+    gaps = np.append(np.flatnonzero(v == 0), len(part))
+    return gaps[np.searchsorted(gaps, start)]
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -249,12 +291,12 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     their longest increasing subsequence, then the gaps.  Stretches that can't reach the coverage are left out by an
     upper bound on the common words, never by position.  One pass, no shuffle; the templates travel with the task.
 
-    Result: doc_id, license, n_words (matched), coverage, start, end (characters, end exclusive), found.
+    Result: doc_id (of any type), license, n_words (matched), coverage, start, end (characters, end exclusive), found.
     Null and empty texts have no place.  A null doc_id is kept.  Repeated rows are scanned each for itself; a notice
     that repeats in a text is found each time, places don't overlap, and of those that would, the template with the
-    most matched words is taken.  Of AGPL and of Creative Commons other than BY-SA and CC0 only notices and headers
+    most matched words is taken.  A text of any length is scanned whole.  Of AGPL and of Creative Commons other than BY-SA and CC0 only notices and headers
     are known.  Without templates, or over an empty table, the result is empty.  Other columns are ignored.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
-    schema = "doc_id bigint, license string, n_words bigint, coverage double, start bigint, end bigint, found string"
+    d = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    schema = with_id(d, "license string, n_words bigint, coverage double, start bigint, end bigint, found string")
     return in_arrow(d, scanner(TEMPLATES if templates is None else templates, coverage), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -10,10 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .bytesops import FOLD, batches_of, column_bytes, word_hash, words
-from .common import in_arrow
+from .bytesops import ASCII_VALUE, batches_of, column_bytes, words
+from .common import in_arrow, with_id
 
 # One source character for one target character: offsets stay as they are.
 HOMOGLYPHS = str.maketrans(
@@ -36,7 +36,7 @@ _DIGIT_OR = re.compile(rf"{_DIGIT}(?!\w)|\d", re.I)
 _AT, _DOT = "at|arroba|arobase|klammeraffe|ät", "dot|punto|punkt|point|period"
 _SIGN = re.compile(
     rf"(?P<at>\s?[\[({{<]\s?(?:{_AT}|@)\s?[\])}}>]\s?)|(?P<dot>\s?[\[({{<]\s?(?:{_DOT}|\.)\s?[\])}}>]\s?)"
-    rf"|(?P<bat>(?<=\w)\s(?:{_AT})\s(?=[\w-]{{1,63}}(?:\s?[\[({{<]?\s?(?:{_DOT})\s?[\])}}>]?\s?|\.)[a-z]{{2,}})(?![\w.+-]*\s?@))|(?P<bdot>(?<=\w)\s(?:{_DOT})\s(?=\w))"
+    rf"|(?P<bat>(?<=\w)\s(?:{_AT})\s(?=[\w-]+(?:\s?[\[({{<]?\s?(?:{_DOT})\s?[\])}}>]?\s?|\.)[a-z]{{2,}})(?![\w.+-]*\s?@))|(?P<bdot>(?<=\w)\s(?:{_DOT})\s(?=\w))"
     rf"|(?P<sat>(?<=\w)\s@\s?(?=[\w-]+(?:\.|\s(?:{_DOT})\s|\s?[\[({{<]))|(?<=\w)@\s(?=[\w-]+\.))",
     re.I,
 )
@@ -60,10 +60,25 @@ ODD, SPELLED, SIGN, AT, DIGIT, SECRET = (1 << i for i in range(6))
 EVERYTHING = ODD | SPELLED | SIGN | AT | DIGIT | SECRET
 _ODD_LEAD = np.zeros(256, bool)
 _ODD_LEAD[sorted({chr(c).encode()[0] for c in HOMOGLYPHS})] = True
-_SPELLED_WORDS = np.sort(np.array([word_hash(w) for w in _NAMES], np.uint64))
-_ONE_DIGIT = np.sort(np.array([word_hash(str(d)) for d in range(10)], np.uint64))
-_AT_WORDS = np.array([word_hash(w) for w in _AT.split("|")], np.uint64)
-_DOT_WORDS = np.array([word_hash(w) for w in _DOT.split("|")], np.uint64)
+# blanks and digits of any script count for \s and \d
+_ODD_LEAD[sorted({c.encode()[0] for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace() or c.isdigit()})] = True
+# letters above 127 that re.IGNORECASE takes for an ASCII one, where the lead alone doesn't tell
+_CASE_PAIRS = ((0xC5, 0xBF), (0xC4, 0xB0), (0xC4, 0xB1))
+
+
+def _parts(name: str) -> list[int]:
+    """Hashes of the ASCII pieces of a name: letters above 127 separate them, whatever their case."""
+    raw = np.frombuffer(name.encode(), np.uint8)
+    return words(raw, np.array([0, len(raw)]), ASCII_VALUE)[0].tolist()
+
+
+_NAME_PARTS = [_parts(w) for w in _NAMES]
+_WHOLE_NAMES = np.sort(np.array([p[0] for p in _NAME_PARTS if len(p) == 1], np.uint64))
+_CUT_NAMES = [p for p in _NAME_PARTS if len(p) == 2]  # as in f-nf
+_ONE_DIGIT = np.sort(np.array([_parts(str(d))[0] for d in range(10)], np.uint64))
+_AT_LENGTH = {_parts(w)[-1]: len(re.split(r"[^a-z]", w)[-1]) for w in _AT.split("|")}
+_AT_WORDS = np.array(list(_AT_LENGTH), np.uint64)
+_DOT_WORDS = np.array([_parts(w)[0] for w in _DOT.split("|")], np.uint64)
 
 
 def hints(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -83,26 +98,29 @@ def hints(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     assigned = np.zeros(n, bool)
     assigned[texts((raw == 61) | (raw == 58))] = True
     out[assigned & (out & DIGIT > 0)] |= SECRET
-    h, doc, start = words(raw, off)
+    for x, y in _CASE_PAIRS:
+        out[texts((raw[:-1] == x) & (raw[1:] == y))] |= EVERYTHING
+    mark = (raw == 91) | (raw == 40) | (raw == 123) | (raw == 60)
+    out[texts(mark)] |= SIGN
+    # words end at any character above 127: no word that a search can mean is missed, some are found that aren't one
+    h, doc, start = words(raw, off, ASCII_VALUE)
     if len(h):
-        spelled = np.isin(h, _SPELLED_WORDS)
+        spelled = np.isin(h, _WHOLE_NAMES)
+        for p, q in _CUT_NAMES:
+            half = np.flatnonzero((h[:-1] == p) & (h[1:] == q) & (doc[:-1] == doc[1:]))
+            spelled[half] = spelled[half + 1] = True
         any_digit = spelled | np.isin(h, _ONE_DIGIT)
         run = any_digit[:-2] & any_digit[1:-1] & any_digit[2:] & (spelled[:-2] | spelled[1:-1] | spelled[2:]) & (doc[:-2] == doc[2:])
         out[doc[:-2][run]] |= SPELLED
-        # more than three mixed digits may be one word, as in "five 55 five": two neighbours are enough beside digits
-        pair = spelled[:-1] & (doc[:-1] == doc[1:])
-        mixed = np.zeros(n, bool)
-        mixed[doc[:-1][pair]] = True
-        out[mixed & (out & DIGIT > 0)] |= SPELLED
         out[doc[np.isin(h, _DOT_WORDS)]] |= SIGN
-        # a bare "at" counts before a name of up to 63 characters that ends in a dot within a word, or a bracket
-        mark = (raw == 91) | (raw == 40) | (raw == 123) | (raw == 60)
-        out[texts(mark)] |= SIGN
-        mark[1:-1] |= (raw[1:-1] == 46) & (FOLD[raw[:-2]] > 0) & (FOLD[raw[2:]] > 0)
-        marks = np.append(np.flatnonzero(mark), 1 << 62)
-        at = np.flatnonzero(np.isin(h[:-1], _AT_WORDS) & (doc[:-1] == doc[1:]))
-        near = marks[np.searchsorted(marks, start[at + 1])] - start[at + 1]
-        out[doc[at[near <= 4 * 64]]] |= SIGN
+        # a bare "at" counts where the run of characters behind it and a blank has a dot before the next blank
+        at = np.flatnonzero(np.isin(h, _AT_WORDS))
+        if len(at):
+            dots = np.append(np.flatnonzero(raw == 46), 1 << 62)
+            blanks = np.append(np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)) | ((raw >= 28) & (raw <= 31))), 1 << 62)
+            behind = start[at] + np.array([_AT_LENGTH[x] for x in h[at].tolist()]) + 1
+            end = np.minimum(blanks[np.searchsorted(blanks, behind)], off[doc[at] + 1])
+            out[doc[at[dots[np.searchsorted(dots, behind)] < end]]] |= SIGN
     return out
 
 
@@ -198,10 +216,13 @@ def find(text: str, may: int = EVERYTHING) -> list[tuple[str, int, int, str]]:
     """
     m = normalise(text, may)
     t, found = m.text, []
+    ends: list[int] = []  # of the spans found, which are disjoint and in order
 
     def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or y <= a for _, x, y in found):
-            found.append((kind, a, b))
+        i = bisect_right(ends, a)
+        if i == len(found) or b <= found[i][1]:
+            found.insert(i, (kind, a, b))
+            ends.insert(i, b)
 
     at = t.find("@")
     while at >= 0:
@@ -230,7 +251,7 @@ def find(text: str, may: int = EVERYTHING) -> list[tuple[str, int, int, str]]:
         for x in _SECRET.finditer(t):
             if any(c.isdigit() for c in x.group(1)):
                 add("secret", *x.span(1))
-    return [(kind, *m.back(a, b), t[a:b]) for kind, a, b in sorted(found, key=lambda x: x[1])]
+    return [(kind, *m.back(a, b), t[a:b]) for kind, a, b in found]
 
 
 def mask(text: str, may: int = EVERYTHING) -> str:
@@ -251,13 +272,13 @@ def _suspects(column: pa.Array) -> tuple[np.ndarray, list[str], list[int]]:
 
 
 def _find_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in batches:
         at, texts, may = _suspects(batch.column("text"))
-        ids = batch.column("doc_id").take(pa.array(at)).to_pylist()
-        rows = [(i, *x, t[x[1] : x[2]]) for i, t, h in zip(ids, texts, may, strict=True) for x in find(t, h)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "kind", "start", "end", "value", "found"])
+        rows = [(i, *x, t[x[1] : x[2]]) for i, t, h in zip(at.tolist(), texts, may, strict=True) for x in find(t, h)]
+        of, *cols = list(zip(*rows, strict=True)) or [[]] * 6
+        ids = batch.column("doc_id").take(pa.array(of, pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", "kind", "start", "end", "value", "found"])
 
 
 def pii(docs: DataFrame) -> DataFrame:
@@ -265,19 +286,25 @@ def pii(docs: DataFrame) -> DataFrame:
 
     Transducers rewrite homoglyphs one for one, runs of spelled digits (four languages) and 'at' / 'dot' disguises,
     and keep for each piece of the normalised text where it comes from; detectors run on the normalised text, and
-    their spans are mapped back.  One pass, no shuffle.
+    their spans are mapped back.  One pass, no shuffle.  A byte scan of whole
+    batches first tells which searches can find something in a text; it never tells too few.
 
-    Result: doc_id, kind, start, end (characters of the text, end exclusive), value (normalised), found (as written).
+    Result: doc_id (of any type), kind, start, end (characters of the text, end exclusive), value (normalised), found (as written).
     Null and empty texts have none.  A null doc_id is kept.  Repeated rows are searched each for itself; spans of one
-    text don't overlap (the kind that comes first in `find` wins).  An empty table gives an empty result.  Other
+    text don't overlap (the kind that comes first in `find` wins).  A text of any length is searched whole, in time that
+    grows with its length and identifiers.  An empty table gives an empty result.  Other
     columns are ignored, whatever their names.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
-    return in_arrow(d, _find_rows, "doc_id bigint, kind string, start bigint, end bigint, value string, found string")
+    d = docs.select("doc_id", "text").filter("text IS NOT NULL")
+    return in_arrow(d, _find_rows, with_id(d, "kind string, start bigint, end bigint, value string, found string"))
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, with identifiers masked in `text`, and `n_chars` (if there) counted anew for masked rows."""
+    """`docs`, all columns, with identifiers masked in `text`, and `n_chars` (if there) counted anew for masked rows.
+
+    Null, empty and clean texts, ids of any kind, repeated rows and all other columns stay as they are; texts of any
+    length are masked whole; an empty table gives an empty result.
+    """
     at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

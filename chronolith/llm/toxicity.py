@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import batches_of, column_bytes, mix64, words
-from .common import in_arrow
+from .common import in_arrow, with_id
 
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 MAX_TRAIN = 6000  # labelled rows that training may gather, whatever the size of the tables
@@ -56,15 +56,24 @@ def _fit(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, dim
     return w, b
 
 
+def folds_of(row: np.ndarray, col: np.ndarray, rows: int) -> np.ndarray:
+    """Fold of each row by a hash of its features, so copies of a text stand in one fold."""
+    h = np.zeros(rows, np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(h, row, mix64(col.astype(np.uint64) + np.uint64(1)))
+    return (mix64(h) % np.uint64(FOLDS)).astype(np.int64)
+
+
 def fit_chain(row: np.ndarray, col: np.ndarray, n_words: np.ndarray, y: np.ndarray) -> dict:
     """The models of a chain from sparse presence features; y has a column a category, NaN where a label is missing.
 
     Category k is fitted on the words and the probabilities of categories before it.  For training those
-    probabilities are out of fold: each row's come from models that were fitted without the row's fold.
+    probabilities are out of fold: each row's come from models that were fitted without the row's fold, and copies of a
+    text share a fold.
     """
     rows, cats = y.shape
     base = np.column_stack([np.ones(rows), np.log1p(n_words)])
-    fold, earlier, models = np.arange(rows) % FOLDS, np.zeros((rows, 0)), []
+    fold, earlier, models = folds_of(row, col, rows), np.zeros((rows, 0)), []
 
     def fit(at: np.ndarray, dense: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         number = np.full(rows, -1, np.int64)
@@ -100,11 +109,12 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, max_train: i
     """Fit the chain on the `max_train` labelled documents that come first by a hash of doc_id.
 
     Only hashed features of these rows reach the driver.  Their ids are broadcast: at most `max_train`.
-    Labels of one doc_id that repeat count once, the largest of each column; a null label is left out of its category.
+    Labels of one doc_id that repeat count once: it is in a category if one of them says so.  A null label is left out
+    of its category.  Rows without doc_id, and columns that no rule of the chain names, are ignored.
     """
-    y = F.array(*[F.expr(f"CAST({rule} AS DOUBLE)") for _, rule in chain])
-    flat = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in labels.columns if c != "doc_id"])
-    picked = flat.select("doc_id", y.alias("labels")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_train)
+    told = labels.filter("doc_id IS NOT NULL").select("doc_id", *[F.expr(f"CAST({rule} AS DOUBLE)").alias(f"y{k}") for k, (_, rule) in enumerate(chain)])
+    flat = told.groupBy("doc_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(chain))])
+    picked = flat.select("doc_id", F.array(*[f"y{k}" for k in range(len(chain))]).alias("labels")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_train)
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
     got = in_arrow(texts.select("text", "labels"), _collect_features, "labels array<double>, features array<int>, n bigint").toArrow()
     # the order in which rows arrive must not matter
@@ -139,7 +149,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, max_train
 
     Result: doc_id, p_<category>..., rejected.
     Null and empty texts have no word; they get the probability of an empty text and are never rejected.  A null
-    doc_id is kept.  Repeated rows are scored each for itself.  Without any labelled text all probabilities are null
+    doc_id is kept.  Repeated rows are scored each for itself, texts of any length whole.  Without any labelled text all probabilities are null
     and nothing is rejected.  Other columns are ignored, whatever their names.
     """
     return score(docs, train(docs, labels, chain, max_train), chain, reject)
@@ -151,7 +161,7 @@ def _judged(raw: np.ndarray, off: np.ndarray, models: list, reject: float) -> tu
 
 
 def score(docs: DataFrame, models: list, chain: tuple = CHAIN, reject: float = REJECT) -> DataFrame:
-    """doc_id, p_<category>..., rejected, by models from `train`."""
+    """doc_id (of any type), p_<category>..., rejected, by models from `train`; odd rows as in `toxicity`."""
     names = [f"p_{name}" for name, _ in chain]
     if not models:
         return docs.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in names], F.lit(False).alias("rejected"))
@@ -162,12 +172,16 @@ def score(docs: DataFrame, models: list, chain: tuple = CHAIN, reject: float = R
             cols = [batch.column("doc_id"), *[pa.array(p[:, k]) for k in range(len(names))], pa.array(bad)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *names, "rejected"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return in_arrow(d, run, f"doc_id bigint, {', '.join(f'{c} double' for c in names)}, rejected boolean")
+    d = docs.select("doc_id", "text")
+    return in_arrow(d, run, with_id(d, f"{', '.join(f'{c} double' for c in names)}, rejected boolean"))
 
 
 def drop_rejected(docs: DataFrame, models: list, reject: float = REJECT) -> DataFrame:
-    """The rows of `docs`, all columns, that the last category doesn't reject; one pass, no shuffle, no join."""
+    """The rows of `docs`, all columns, that the last category doesn't reject; one pass, no shuffle, no join.
+
+    Null and empty texts stay; repeated rows are judged each for itself, whole texts whatever their length; without
+    models all rows stay; an empty table gives an empty result.
+    """
     if not models:
         return docs
 
