@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bytesops import batches_of, column_bytes, mix64, words
-from .common import fresh, in_arrow, materialize
+from .common import fresh, in_arrow, materialize, with_id
 
 BINS = 128
 ROWS = 4  # bins of a band; their 4 x 16 bits are the band's bucket
 SHINGLE = 3  # words
 THRESHOLD = 0.6
+BLOCK = 1024  # members of a bucket that are compared with as many others at once
 
 
 def signatures(raw: np.ndarray, off: np.ndarray, bins: int = BINS, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +69,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, blobs], names=["doc_id", "sig"])
 
 
+def _forest(threshold: float) -> Callable:
+    """Of the pairs between (i < j) or within (i = j) two blocks that agree in `threshold`: edges that connect the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                m = batch.column("m")[row].values
+                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint16).reshape(len(m), -1)
+                block, i, j = m.field("block").to_numpy(), batch.column("i")[row].as_py(), batch.column("j")[row].as_py()
+                x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                need, root, edges = int(np.ceil(threshold * sig.shape[1] - 1e-9)), np.arange(len(m)), []
+                for p in x.tolist():
+                    for q in y[(sig[y] == sig[p]).sum(axis=1) >= need].tolist():
+                        a, b = root[p], root[q]
+                        if a != b:
+                            root[root == max(a, b)] = min(a, b)
+                            edges.append((min(p, q), max(p, q)))
+                ids = m.field("id")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([e[k] for e in edges], pa.int64())) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 @F.pandas_udf(DoubleType())
 def resemblance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal bins of two signatures."""
@@ -104,17 +128,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Texts are read once, into 256-byte signatures that are written to the shared folder.  Equal signatures are one
     class.  Classes meet in band buckets; a bucket of m classes gives m - 1 edges from its smallest id, so pairs grow
     with the documents, never with the square of a group.  Edges whose signatures agree in `threshold` of the bins
-    hold; members whose star edge failed in a bucket form a second star there.  Connected classes are a group, and
-    its smallest doc_id stays.
+    hold; members whose star edge failed in a bucket form a second star there, and those that fail in this one too are
+    compared with each other in blocks, which put out no more edges than members.  So classes that meet in a bucket
+    are joined exactly as if all pairs of it were compared.  Connected classes are a group, and its smallest doc_id stays.
 
-    Result: doc_id, kept_id, a row for each document that goes.
+    Result: doc_id (of any type that sorts), kept_id, a row for each document that goes.
     Words are compared without ASCII case and punctuation.  Null and empty texts, and texts without a word, are in no
     group; so are rows without doc_id.  Of ties the smallest doc_id stays.  Rows that repeat a doc_id count as one
     document, which is compared with itself by nothing; its texts may join several groups.  An empty table gives an
-    empty result.  Other columns are ignored, whatever their names.
+    empty result.  Texts of any length count whole.  Other columns are ignored, whatever their names.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    sigs = materialize(in_arrow(d, _scan, "doc_id bigint, sig binary"), "signatures")
+    d = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    id_type = d.schema["doc_id"].dataType
+    sigs = materialize(in_arrow(d, _scan, with_id(d, "sig binary")), "signatures")
     classes = materialize(sigs.groupBy("sig").agg(F.min("doc_id").alias("id")), "classes")
     equal = sigs.join(classes, "sig").filter("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     width = 2 * ROWS
@@ -125,6 +151,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         center = m.groupBy("band", "h").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
         return m.join(center, ["band", "h"]).filter("id <> a").select("band", "h", "a", F.col("id").alias("b"))
 
+    def rest(failed: DataFrame) -> DataFrame:
+        """Edges among the members that two stars left in a bucket: pairs of blocks of it, each in one task."""
+        m = failed.groupBy("band", "h").agg(F.count("*").alias("m")).filter("m > 1")
+        m = failed.join(m, ["band", "h"]).withColumn("n", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), "n"))
+        meet = m.withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
+        meet = meet.select("band", "h", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        member = F.struct("id", "block", "sig").alias("x")
+        groups = meet.join(classes, "id").groupBy("band", "h", "i", "j").agg(F.array_sort(F.collect_list(member)).alias("m"))
+        return in_arrow(groups.select("i", "j", "m"), _forest(threshold), StructType([StructField(x, id_type) for x in "ab"]))
+
     def verified(e: DataFrame) -> DataFrame:
         a, b = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
         pairs = e.select("a", "b").distinct().join(a, "a").join(b, "b")
@@ -133,8 +169,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = materialize(stars(members), "stars")
     judged = materialize(verified(first), "judged")
     failed = first.join(judged.filter("NOT ok"), ["a", "b"]).select("band", "h", F.col("b").alias("id"))
-    second = verified(stars(failed))
-    edges = equal.unionByName(judged.filter("ok").select("a", "b")).unionByName(second.filter("ok").select("a", "b"))
+    again = materialize(stars(failed), "stars")
+    second = materialize(verified(again), "judged")
+    left = again.join(second.filter("NOT ok"), ["a", "b"]).select("band", "h", F.col("b").alias("id"))
+    edges = equal.unionByName(judged.filter("ok").select("a", "b")).unionByName(second.filter("ok").select("a", "b")).unionByName(rest(left).distinct())
     return components(edges.filter("a < b")).filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
 
 
