@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import batches_of, column_bytes, mix64
-from .common import in_arrow, materialize
+from .common import in_arrow, materialize, with_id
 
 WIDTH = 64  # bytes of a feature, and features of a popularity window
 POPULAR = 16  # windows that must elect a feature
@@ -23,6 +22,9 @@ FULL = 160  # features of a filter
 HASHES = 5
 MATCH = 40.0
 BLOCK = 1024  # digests, and filters, that are compared at once
+SALTS = 16  # tasks at least among which the classes of one feature are spread
+STRETCH = 1 << 19  # bytes of a long text that are looked at together
+SHARED_BITS = 1 << 25  # of the table that tells features that may be shared: 4 MB, whatever the size of the corpus
 _F = np.array([0] + [round(c * np.log2(c) * 65536) for c in range(1, WIDTH + 2)], np.int64)
 _D = _F[:-1] - _F[1:]
 _TOP = 6 * WIDTH * 65536
@@ -57,6 +59,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = column_bytes(batch.column("text"))
         for i, j in batches_of(raw, off, 1 << 18):
+            if off[j] - off[i] > 2 * STRETCH:  # one long text
+                for a in range(int(off[i]), int(off[j]), STRETCH):
+                    total += np.bincount(entropy_scores(raw[a : min(a + STRETCH + WIDTH - 1, int(off[j]))]), minlength=LEVELS + 1)
+                continue
             s = entropy_scores(raw[off[i] : off[j]])
             bad = np.zeros(len(s) + 1, np.int64)  # windows across two texts
             ends = off[i + 1 : j] - off[i]
@@ -108,6 +114,21 @@ def select(raw: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarr
     return np.searchsorted(off, at, side="right") - 1, at
 
 
+def selected(raw: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`select`, a long text in stretches that overlap by all that a vote can depend on."""
+    if len(raw) <= 2 * STRETCH:
+        return select(raw, off, rank)
+    doc, at = [], []
+    for t in range(len(off) - 1):
+        for a in range(int(off[t]), int(off[t + 1]), STRETCH):
+            low, high = max(int(off[t]), a - 2 * WIDTH), min(int(off[t + 1]), a + STRETCH + 3 * WIDTH)
+            _, x = select(raw[low:high], np.array([0, high - low]), rank)
+            x = x[(x + low >= a) & (x + low < a + STRETCH)] + low
+            doc.append(np.full(len(x), t))
+            at.append(x)
+    return np.concatenate(doc), np.concatenate(at)
+
+
 def feature_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = np.zeros(len(at), np.uint64)
     for i in range(0, len(at), 1 << 14):
@@ -120,6 +141,13 @@ def feature_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
+def short_feature(raw: np.ndarray) -> np.ndarray:
+    """The feature of a text shorter than a window: its bytes, filled up with bytes that UTF-8 never has."""
+    filled = np.full(WIDTH, 0xFF, np.uint8)
+    filled[: len(raw)] = raw
+    return feature_hashes(filled, np.zeros(1, np.int64))
+
+
 def bloom(features: np.ndarray) -> bytes:
     """Chained filters of 2048 bits, 160 features each, 5 bits a feature."""
     filters = np.zeros((-(-len(features) // FULL), BITS), np.uint8)
@@ -133,9 +161,11 @@ def _features(col: pa.Array, rank: np.ndarray) -> Iterator[tuple[int, int, list[
     raw, off = column_bytes(col)
     for i, j in batches_of(raw, off, 1 << 18):
         part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-        doc, at = select(part, o, rank)
+        doc, at = selected(part, o, rank)
         h, lists = feature_hashes(part, at), []
-        for x in np.split(h, np.searchsorted(doc, np.arange(1, j - i))):
+        for t, x in enumerate(np.split(h, np.searchsorted(doc, np.arange(1, j - i)))):
+            if not len(x) and 0 < o[t + 1] - o[t] < WIDTH:
+                x = short_feature(part[o[t] : o[t + 1]])
             _, first = np.unique(x, return_index=True)
             lists.append(x[np.sort(first)])
         yield i, j, lists
@@ -158,17 +188,41 @@ def _digests(rank: np.ndarray) -> Callable:
     return run
 
 
-def _posts(rank: np.ndarray) -> Callable:
+def _all_features(rank: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, lists in _features(batch.column("text"), rank):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64))], names=["f"])
+
+    return run
+
+
+def _posts(rank: np.ndarray, table: np.ndarray) -> Callable:
+    """(feature, class) of the features whose bit is set in `table`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, lists in _features(batch.column("text"), rank):
                 sizes = [len(x) for x in lists]
                 names = np.array([digest_class(n, bloom(x)) for n, x in zip(sizes, lists, strict=True)], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), pa.array(np.repeat(names, sizes))], names=["f", "c"])
+                f = np.concatenate(lists)
+                bit = f & np.uint64(SHARED_BITS - 1)
+                keep = (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                yield pa.RecordBatch.from_arrays([pa.array(f[keep].view(np.int64)), pa.array(np.repeat(names, sizes)[keep])], names=["f", "c"])
 
     return run
 
 
+def _bits(shared: DataFrame) -> np.ndarray:
+    """One bit for each value of the low bits of the features, as a table of SHARED_BITS bits whatever their number."""
+    word = F.expr(f"CAST(f & {SHARED_BITS - 1} AS BIGINT)")
+    words_ = shared.select(F.shiftright(word, 5).alias("at"), F.expr("shiftleft(1L, CAST(f & 31 AS INT))").alias("b")).groupBy("at").agg(F.bit_or("b").alias("b"))
+    got = words_.toArrow()  # at most SHARED_BITS / 32 rows
+    table = np.zeros(SHARED_BITS // 32, np.uint32)
+    table[got["at"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
+    return table.view(np.uint8)
+
+
 def compare(a: bytes, na: int, b: bytes, nb: int) -> float:
     """Normalised bit overlap of two digests, 0 to 100.
 
@@ -232,11 +286,13 @@ def _matches(match: float) -> Callable:
             for row in range(batch.num_rows):
                 i, j = batch.column("i")[row].as_py(), batch.column("j")[row].as_py()
                 m = batch.column("m")[row].values
-                c, n, block = (m.field(x).to_numpy() for x in ("c", "n", "block"))
+                c, n, block, tells = (m.field(x).to_numpy(zero_copy_only=False) for x in ("c", "n", "block", "tells"))
                 digests = m.field("digest").to_pylist()
                 x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+                if not tells.any() or not len(x) or not len(y):
+                    continue
                 out, back = compare_all([digests[k] for k in x], n[x], [digests[k] for k in y], n[y])
-                good = np.maximum(out, back) >= match
+                good = (np.maximum(out, back) >= match) & (tells[x][:, None] | tells[y][None, :])
                 p, q = np.nonzero(np.triu(good, 1) if i == j else good)
                 first = c[x[p]] < c[y[q]]  # a pair that meets again at another feature has to come out the same
                 a, b = np.where(first, c[x[p]], c[y[q]]), np.where(first, c[y[q]], c[x[p]])
@@ -246,54 +302,76 @@ def _matches(match: float) -> Callable:
     return run
 
 
-def fingerprints(docs: DataFrame, match: float = MATCH) -> DataFrame:
-    """The digest of every document, all documents that match it, and the best match among earlier ones.
-
-    One pass ranks entropy scores by how rare they are over all windows of all documents; a second selects features,
-    hashes them and fills the filters.  Documents with equal digests are one class.  Every two classes that share a
-    feature are compared, however many have it: the classes of a feature are a set, features with the same set count
-    once, and a set is compared block by block, so digests move with the sets and never with the pairs.  Comparisons
-    grow with the square of a shared passage's documents, as the matches among them may.
-
-    Result: doc_id, n_features, digest (base64 of 256 bytes a filter), match_id and match_score (the best of the
-    matches with a smaller doc_id; ties: the smallest), matches (array of match_id, match_score by match_id: every
-    document, earlier or later, that shares a feature and scores at least `match`; of two digests with as many filters
-    the larger doc_id's filters take their partners in the other's).
-    Null and empty texts, and texts under 64 bytes, have no feature, an empty digest and no match.  Rows without
-    doc_id are left out.  Rows that repeat a doc_id get a row each, and match no row of their own doc_id.  An empty
-    table gives an empty result.  Other columns are ignored, whatever their names.
+def candidate_blocks(posts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, i, j, c, block, tells): the classes `c` of blocks i <= j of each set of classes that share a feature.
+
+    posts: the distinct (f, c) of features that several classes may have; sizes: c, n (its features).
+    A feature doesn't tell for a class if it is among the quarter (rounded down) of the class's features that most
+    classes have (ties: the larger number).  Features with the same classes count once, by a signature of the set.
+    No set is gathered: its classes go to blocks of about BLOCK by a hash.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    salt = F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("salt")
+    # counts are summed before the shuffle, and come back to the rows by a join on (f, salt): no feature is one task
+    df = posts.groupBy("f").agg(F.count("*").alias("df")).filter("df > 1")
+    spread = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = posts.withColumn("salt", salt).join(spread, ["f", "salt"]).select("f", "c", "df")
+    by_class = Window.partitionBy("c").orderBy(F.desc("df"), F.desc("f"))  # a document's features
+    ranked = shared.withColumn("hot", F.row_number().over(by_class)).join(sizes, "c")
+    ranked = materialize(ranked.select("f", "c", "df", (F.col("hot") > F.expr("n div 4")).alias("tells")), "shared")
+    one = F.xxhash64("c", "tells")
+    sets = ranked.groupBy("f").agg(F.min("df").alias("df"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(1))).alias("y"), F.max("tells").alias("some"))
+    sets = sets.filter("some").groupBy("df", "x", "y").agg(F.min("f").alias("f"))
+    sets = sets.select("f", F.ceil(F.col("df") / BLOCK).alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = ranked.withColumn("salt", salt).join(sets, ["f", "salt"]).withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), "blocks"))
+    meet = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return meet.select(F.col("f").alias("id"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "block", "tells")
+
+
+def links(docs: DataFrame, match: float = MATCH) -> tuple[DataFrame, DataFrame]:
+    """The digest and class of every document (doc_id, n, digest, c), and the linked pairs of classes (a, b, ab, ba)."""
+    d = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     rank = rarity(d)
-    made = materialize(in_arrow(d, _digests(rank), "doc_id bigint, n bigint, digest binary, c bigint"), "digests")
+    made = materialize(in_arrow(d, _digests(rank), with_id(d, "n bigint, digest binary, c bigint")), "digests")
     # texts are read again for the features: they would take more room on disk than everything else
-    posts = in_arrow(d.select("text"), _posts(rank), "f bigint, c bigint")
-    by_feature = Window.partitionBy("f")
-    shared = posts.select("f", "c", F.min("c").over(by_feature).alias("low"), F.max("c").over(by_feature).alias("high")).filter("low < high")
-    sets = materialize(shared.groupBy("f").agg(F.array_sort(F.collect_set("c")).alias("m")).select("m").distinct(), "sets")
-    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    members = sets.select("id", F.size("m").alias("size"), F.posexplode("m").alias("at", "c")).withColumn("block", F.expr(f"at div {BLOCK}"))
-    meet = members.withColumn("other", F.explode(F.expr(f"sequence(0L, (size - 1) div {BLOCK})")))
-    meet = meet.select("id", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    seen = in_arrow(d.select("text"), _all_features(rank), "f bigint").groupBy("f").agg(F.count("*").alias("n"))
+    posts = in_arrow(d.select("text"), _posts(rank, _bits(seen.filter("n > 1").select("f"))), "f bigint, c bigint")
+    posts = materialize(posts.distinct(), "posts")
     classes = made.filter("n > 0").select("c", "n", "digest").dropDuplicates(["c"])
-    groups = meet.join(classes, "c").groupBy("id", "i", "j").agg(F.collect_list(F.struct("block", "c", "n", "digest")).alias("m"))
-    pairs = materialize(in_arrow(groups.select("i", "j", "m"), _matches(match), "a bigint, b bigint, ab double, ba double").dropDuplicates(["a", "b"]), "pairs")
-    # own: the score if one's own doc_id is the larger; its: if the other's is
-    ids = made.filter("n > 0").select(F.col("c").alias("of"), F.col("doc_id").alias("match_id")).distinct()
-    equal = ids.groupBy("of").count().filter("count > 1").select(F.col("of").alias("c"), "of", F.lit(100.0).alias("own"), F.lit(100.0).alias("its"))
-    forth = pairs.select(F.col("a").alias("c"), F.col("b").alias("of"), F.col("ab").alias("own"), F.col("ba").alias("its"))
-    back = pairs.select(F.col("b").alias("c"), F.col("a").alias("of"), F.col("ba").alias("own"), F.col("ab").alias("its"))
-    linked = forth.unionByName(back).unionByName(equal.filter(F.lit(match <= 100))).join(ids, "of")
-    lists = linked.groupBy("c").agg(F.collect_list(F.struct("match_id", "own", "its")).alias("all"))
-    out = made.join(lists, "c", "left")
-    score = "CAST(IF(x.match_id < doc_id, x.own, x.its) AS DOUBLE)"
-    mine = f"transform(filter(all, x -> x.match_id <> doc_id), x -> struct(x.match_id AS match_id, {score} AS match_score))"
-    found = F.expr(f"coalesce(array_sort(filter({mine}, x -> x.match_score >= {float(match)!r}D)), array())")
-    out = out.select("doc_id", F.col("n").cast("int").alias("n_features"), F.base64("digest").alias("digest"), found.alias("matches"))
-    best = F.expr("array_max(transform(filter(matches, x -> x.match_id < doc_id), x -> struct(x.match_score AS s, -x.match_id AS m)))")
-    out = out.withColumn("best", best)
-    return out.select("doc_id", "n_features", "digest", (-F.col("best.m")).alias("match_id"), F.col("best.s").alias("match_score"), "matches")
-
-
-def decode(digest: str) -> bytes:
-    return base64.b64decode(digest)
+    meet = candidate_blocks(posts, classes.select("c", "n"))
+    groups = meet.join(classes, "c").groupBy("id", "i", "j").agg(F.collect_list(F.struct("block", "c", "n", "digest", "tells")).alias("m"))
+    pairs = in_arrow(groups.select("i", "j", "m"), _matches(match), "a bigint, b bigint, ab double, ba double").dropDuplicates(["a", "b"])
+    return made, materialize(pairs, "pairs")
+
+
+def fingerprints(docs: DataFrame, match: float = MATCH) -> DataFrame:
+    """The digest of every document, the class of documents with the same digest, and the classes linked to it.
+
+    One pass ranks entropy scores by how rare they are over all windows of all documents; further ones select
+    features, hash them and fill the filters.  Documents with equal digests are one class.  Two classes are linked if
+    they share a feature that tells for one of them (see `candidate_blocks`) and score at least `match`.  A pair that
+    shares no such feature shares at most a quarter of either's features, which is below the share (0.3) that scores
+    anything.  So a passage of many documents leads to comparisons only where it is a good part of a document.  Sets
+    of classes are compared block by block, and digests move with the blocks, never with the pairs.
+
+    Result: doc_id (of any type that sorts), n_features, digest (base64 of 256 bytes a filter), class_id (smallest
+    doc_id of the class), n_copies (rows of the class), n_links (other classes linked), match_id and match_score (the
+    class_id and score of the best linked class; ties: the smallest class_id).  The score of two classes is the larger
+    of the two directions, if both have as many filters.
+    A text under 64 bytes has one feature, its bytes.  Null and empty texts, and texts whose windows all score under
+    100 (such as one repeated character), have no feature, an empty digest, are a class of their own (class_id:
+    doc_id, n_copies: 1) and are linked to nothing.  Rows without doc_id are left out.  Rows that repeat a doc_id get
+    a row each.  Texts of any length count whole.  An empty table gives an empty result.  Other columns are ignored,
+    whatever their names.
+    """
+    made, pairs = links(docs, match)
+    classes = made.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
+    score = F.greatest("ab", "ba").alias("s")
+    ends = pairs.select(F.col("a").alias("c"), F.col("b").alias("other"), score).unionByName(pairs.select(F.col("b").alias("c"), F.col("a").alias("other"), score))
+    ends = ends.join(classes.select(F.col("c").alias("other"), F.col("class_id").alias("id")), "other")
+    best = ends.groupBy("c").agg(F.count("*").alias("n_links"), F.min(F.struct((-F.col("s")).alias("s"), "id")).alias("best"))
+    known = classes.join(best, "c", "left")
+    out = made.join(known, (made["c"] == known["c"]) & (made["n"] > 0), "left")
+    return out.select(
+        "doc_id", F.col("n").cast("int").alias("n_features"), F.base64("digest").alias("digest"), F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.id").alias("match_id"), (-F.col("best.s")).alias("match_score"),
+    )
