@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_sum, tokens
+from .common import materialize, running_sum, tokens
 
 BLOCK = 16384  # tokens of a block
 ALPHA = 0.7  # a source's target weight is its token share to this power
@@ -25,7 +25,8 @@ def _sources(rows: DataFrame, block: int, alpha: float, weights: DataFrame | Non
         s = s.select("source", "n", F.greatest(F.lit(1), F.round(share * SCALE)).cast("long").alias("w"))
     else:
         told = weights.select(F.coalesce("source", F.lit("")).alias("source"), F.col("weight").cast("double").alias("v")).filter("v > 0")
-        s = s.join(told.groupBy("source").agg(F.max("v").alias("v")), "source")
+        s = s.join(told.groupBy("source").agg(F.max("v").alias("v")), "source", "left")
+        s = s.withColumn("v", F.coalesce("v", F.col("n") / F.sum("n").over(total) * F.coalesce(F.sum("v").over(total), F.lit(1.0))))
         s = s.select("source", "n", F.greatest(F.lit(1), F.round(F.col("v") / F.sum("v").over(total) * SCALE)).cast("long").alias("w"))
     run = Window.orderBy("source")
     return s.select(
@@ -49,11 +50,11 @@ def schedule(sources: DataFrame, slots: int | None = None) -> DataFrame:
     if last.n is None:
         return sources.select(F.lit(0).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("block")).limit(0)
     n = int(last.n) if slots is None else slots
-    if n >= 1 << 31:
-        raise ValueError(f"{n} slots: take larger blocks")
     width = max(1, math.ceil(int(last.w) / 4096))
-    point = F.shiftright((F.col("slot") * F.lit(GOLDEN)).bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(int(last.w)), 32)
-    s = spark.range(n).select(F.col("id").alias("slot"), point.alias("v")).withColumn("cell", F.expr(f"v div {width}"))
+    # slot * GOLDEN modulo 2**32 in two halves, so that no product is too large; the points repeat after 2**32 slots
+    high = F.expr(f"((shiftright(slot, 16) & 65535L) * {GOLDEN} & 65535L) * 65536L + (slot & 65535L) * {GOLDEN}")
+    point = F.shiftright(high.bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(int(last.w)), 32)
+    s = spark.range(n).select(F.col("id").alias("slot")).withColumn("v", point).withColumn("cell", F.expr(f"v div {width}"))
     # range join: the weight axis in 4096 cells, each source in the cells that it covers
     cells = sources.withColumn("cell", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")))
     s = s.join(cells, "cell").filter("lo <= v AND v < hi").select("slot", "source", "blocks")
@@ -82,24 +83,26 @@ def mix(
     Within a source the documents are shuffled by a seeded hash and cut into blocks of `block` tokens (the last may be
     shorter).  Slot i of the schedule goes to the source in whose interval of the cumulative weights the i-th
     golden-ratio point falls; the slot's rank within its source picks the block, around again when all are used.
-    `weights` (source, weight) sets targets; else they are the token shares to the power `alpha`, which raises
-    small sources.  Without `slots` the schedule ends as soon as every block has been used, so no token is lost.
+    `weights` (source, weight) sets targets; a source that it doesn't list, or not with a weight above 0, gets its token
+    share of their sum (of a source's weights the largest counts).  Without it targets are the token shares to the
+    power `alpha`, which raises small sources.  Without `slots` the schedule ends as soon as every block has been used, so no token is lost.
 
-    Positions come from prefix sums over hash buckets, so a hot source is many tasks; the text is read once for its
-    count and shuffled once, to join the finished assignments.
+    Positions come from prefix sums over hash buckets, so a hot source is many tasks.  Texts are read once to count
+    their tokens (the counts are written), and once more and shuffled to join the finished assignments.
 
     Result: slot, source, block, doc_id, start (token of the document), n_tokens, text; with `keep`, also `whole` (the
     part is its whole document) and these columns of the document under the `names` given for them.
     A part that holds its whole document has the text as it was; else its tokens joined by one space.
     A null source counts as the source ''.  Null, empty and blank texts have no token and appear nowhere.  A null
     doc_id is a value like any other.  Rows that agree in doc_id, source and token count take one place in the order,
-    and all of them are put out there.  An empty table gives an empty result.  Other columns are ignored.
+    and all of them are put out there.  Texts of any length are cut into as many blocks as they fill.  An empty table gives an empty result.  Other
+    columns are ignored.
     """
     keep = keep or []
     n = F.size(tokens("text")).cast("long").alias("n")
     source = F.coalesce(F.col("source"), F.lit("")).alias("source")
-    rows = docs.select("doc_id", source, n).filter("n > 0").distinct()
-    sources = _sources(rows, block, alpha, weights)
+    rows = materialize(docs.select("doc_id", source, n).filter("n > 0").distinct(), "counts")
+    sources = materialize(_sources(rows, block, alpha, weights), "sources")
     at = running_sum(rows.withColumn("key", _order(seed)), ["source"], F.substring("key", 1, 3), [F.col("key")], F.col("n"), "at")
     parts = (
         at.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + n - 1) div {block})")))
