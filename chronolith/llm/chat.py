@@ -11,19 +11,21 @@ def format_chats(turns: DataFrame, start: str = "<|", end: str = "|>", stop: str
 
     The turns of a conversation are collected once (one shuffle on conv_id), sorted as structs, cut where the role
     changes, and joined.  Run starts are found by a filter over positions and each run is one slice, so the work is
-    linear in the turns, however long a conversation is.  `start`, `end` and `stop` delimit roles and messages.
+    linear in the turns, however long a conversation is.  `start`, `end` and `stop` delimit roles and messages; where a role or text holds
+    `start` itself, a backslash is put behind its first character, so no text can forge a turn.
 
     Result: conv_id, n_turns (kept turns), n_messages (after merging), text.
     Rows without conv_id belong to no conversation and are left out.  A null turn sorts first; a null role counts as
     'unknown', a null text as empty.  Turns sort by turn, role, text, which settles ties.  Rows equal in all four
-    columns are kept once.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
+    columns are kept once, those with a null turn too.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
+    escaped = start[:1] + "\\" + start[1:]
     rows = turns.filter(F.col("conv_id").isNotNull()).select(
         "conv_id",
         F.struct(
             F.col("turn").alias("n"),
-            F.coalesce("role", F.lit("unknown")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
+            F.replace(F.coalesce("role", F.lit("unknown")), F.lit(start), F.lit(escaped)).alias("role"),
+            F.replace(F.coalesce("text", F.lit("")), F.lit(start), F.lit(escaped)).alias("text"),
         ).alias("t"),
     )
     # nulls sort last in array_sort: the leading flag puts them first
@@ -44,9 +46,9 @@ def format_chats(turns: DataFrame, start: str = "<|", end: str = "|>", stop: str
     )
 
 
-SQL = """
+SQL = r"""
 WITH d AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), o AS (
   SELECT *, row_number() OVER w AS i,

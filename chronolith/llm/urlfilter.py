@@ -8,35 +8,47 @@ from pyspark.sql import functions as F
 PERIOD = 30 * 86400  # seconds of a join period
 
 
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, an IPv6 address with its brackets, without user, port and dots at its end."""
+    host = F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
+    return F.regexp_replace(host, "[.]+$", "")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, action, valid_from, valid_to of each list entry: it holds until the pattern's next entry.
 
-    Of entries of one pattern and moment the last by action holds.  The action 'clear' ends an entry and is none.
+    Patterns are taken in lower case and without dots at the end of the host.  Of entries of one pattern and moment
+    the last by action holds, so repeated entries count once.  The action 'clear' ends an entry and is none.  Entries
+    with a null pattern, action or date are ignored; without entries there are no intervals.
     """
-    e = entries.select(F.lower("pattern").alias("pattern"), "action", F.col("listed_at").cast("timestamp").alias("at"))
+    pattern = F.regexp_replace(F.lower("pattern"), "^([^/]*[^/.])[.]+(?=/|$)", "$1")
+    e = entries.select(pattern.alias("pattern"), "action", F.col("listed_at").cast("timestamp").alias("at"))
     e = e.filter("pattern IS NOT NULL AND action IS NOT NULL AND at IS NOT NULL").groupBy("pattern", "at").agg(F.max("action").alias("action"))
     e = e.withColumn("valid_to", F.lead("at").over(Window.partitionBy("pattern").orderBy("at")))
     return e.filter("action <> 'clear'").select("pattern", "action", F.col("at").alias("valid_from"), "valid_to")
 
 
 def url_keys(url: str = "url") -> Column:
-    """Patterns that can cover a URL: its host's domains of two labels and more, and the host with each path prefix."""
-    return F.expr(f"""
-        flatten(transform(array(regexp_extract(lower({url}), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]*)?', 1)),
-          host -> concat(
-            transform(filter(sequence(0, size(split(host, '[.]')) - 1), i -> i <= size(split(host, '[.]')) - 2),
-                      i -> array_join(slice(split(host, '[.]'), i + 1, 1000), '.')),
-            transform(array(filter(split(regexp_extract(lower({url}), '^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/'), x -> x <> '')),
-              parts -> transform(filter(sequence(0, size(parts)), j -> j > 0 AND host <> ''),
-                                 j -> concat(host, '/', array_join(slice(parts, 1, j), '/'))))[0])))""")
+    """Patterns that can cover a URL: its host and the domains above it (of an IP address only itself), and the host
+    with each path prefix."""
+    return F.transform(F.array(F.struct(host_of(F.col(url)).alias("host"), F.col(url).alias("url"))), _keys)[0]
+
+
+def _keys(x: Column) -> Column:
+    labels = F.when(x["host"].rlike(r"^([0-9.]*|\[.*)$"), F.array(x["host"])).otherwise(F.split(x["host"], "[.]"))
+    at = F.sequence(F.lit(1), F.size(labels))
+    domains = F.transform(at, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = F.filter(F.split(F.regexp_extract(F.lower(x["url"]), "^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
+    paths = F.transform(F.array(parts), lambda ps: F.transform(F.filter(F.sequence(F.lit(0), F.size(ps)), lambda j: j > 0), lambda j: F.concat_ws("/", x["host"], F.slice(ps, F.lit(1), j))))[0]
+    return F.filter(F.concat(domains, paths), lambda k: (k != "") & (x["host"] != ""))
 
 
 def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """What the lists said of every capture when it was fetched.
 
     captures: page_id, url, fetched_at.  entries: pattern (a domain, or host/path), action ('block', 'allow' or
-    'clear'), listed_at.  Of the entries active at fetch time the longest pattern decides.  A domain covers its
-    subdomains, host/path what lies below it.
+    'clear'), listed_at.  Of the entries active at fetch time the longest pattern decides.  A domain, of one label
+    too, covers its subdomains, an IP address only itself, host/path what lies below it.
 
     The as-of join is an equi-join on (pattern, period of 30 days): an interval is put in each period that it meets,
     so a pattern with a long history, or a hot one, meets only entries of the capture's period.  Only page_id, url
