@@ -105,8 +105,10 @@ def test_fingerprints(spark, odd, none):
     rng = np.random.default_rng(2)
     text = "".join(chr(c) for c in rng.integers(97, 123, 6000))
     other = "".join(chr(c) for c in rng.integers(97, 123, 6000))
-    got = {r.doc_id: r for r in fingerprint.fingerprints(docs(spark, [(1, text, "s"), (2, text[:5500] + "changed", "s"), (3, other, "s")])).collect()}
-    assert got[2].match_id == 1 and got[2].match_score > 60 and got[3].match_id is None
+    rows = [(1, text, "s"), (2, text[:5500] + "changed", "s"), (3, other, "s"), (4, "short", "s"), (5, "short", "s"), (6, "a" * 500, "s")]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs(spark, rows)).collect()}
+    assert got[2].match_id == 1 and got[1].match_id == 2 and got[2].match_score > 60 and got[3].match_id is None
+    assert got[5].class_id == 4 and got[5].n_copies == 2 and got[6].n_features == 0 and got[6].class_id == 6
     raw = np.frombuffer(text[:500].encode(), np.uint8)
     for i, s in enumerate(fingerprint.entropy_scores(raw)):
         p = np.bincount(raw[i : i + 64]) / 64
@@ -115,8 +117,26 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.fingerprints(none).count() == 0 and Counter(r.doc_id for r in fingerprint.fingerprints(odd).collect())[1] == 2
 
 
-def test_fingerprints_report_every_pair(spark):
-    """A later copy whose features all occurred in earlier, different documents; a passage many share; blocks."""
+def test_selection_by_plain_votes_and_in_stretches(monkeypatch):
+    rng = np.random.default_rng(6)
+    raw = np.concatenate([rng.integers(97, 97 + k, 900) for k in (26, 3, 12, 1, 20)]).astype(np.uint8)
+    rank = rng.permutation(1001).astype(np.int64)
+    rank[:100] = fingerprint._NONE
+    key = rank[fingerprint.entropy_scores(raw)]
+    votes = Counter()
+    for a in range(len(key) - 63):
+        k = min(range(a, a + 64), key=lambda i: (key[i], i))
+        votes[k] += key[k] < fingerprint._NONE
+    want = sorted(k for k, n in votes.items() if n >= 16)
+    off = np.array([0, 0, len(raw)])
+    assert fingerprint.select(raw, off, rank)[1].tolist() == want and len(want) > 20
+    monkeypatch.setattr(fingerprint, "STRETCH", 500)
+    doc, at = fingerprint.selected(raw, off, rank)
+    assert at.tolist() == want and set(doc.tolist()) == {1}
+
+
+def test_fingerprints_against_all_pairs(spark):
+    """A later copy whose features all occurred in earlier, different documents; a passage many share; copies; blocks."""
     rng = np.random.default_rng(5)
 
     def noise(n):
@@ -125,29 +145,41 @@ def test_fingerprints_report_every_pair(spark):
     a, b, passage = noise(4000), noise(4000), noise(700)
     long = noise(60000)
     rows = [(1, a + noise(9000)), (2, b + noise(9000)), (3, a + b), (4, a + b), (5, a + b + noise(40)), (6, long), (7, long[:50000] + noise(9000)), (7, b), (8, "short")]
-    rows += [(10 + i, noise(300) + passage + noise(20 * i)) for i in range(30)]
+    rows += [(10 + i, noise(300) + passage + noise(40 * i)) for i in range(40)]
     d = docs(spark, [(i, t, "s") for i, t in rows])
     rank, blobs = fingerprint.rarity(d), []
     for i, t in rows:
         raw = np.frombuffer(t.encode(), np.uint8)
-        f = fingerprint.feature_hashes(raw, fingerprint.select(raw, np.array([0, len(raw)]), rank)[1])
-        f = np.array(list(dict.fromkeys(f.tolist())), np.uint64)
-        blobs.append((i, set(f.tolist()), fingerprint.bloom(f)))
-    want = {}
+        f = fingerprint.feature_hashes(raw, fingerprint.select(raw, np.array([0, len(raw)]), rank)[1]) if len(raw) >= 64 else fingerprint.short_feature(raw)
+        f = list(dict.fromkeys(f.view(np.int64).tolist()))
+        blobs.append((i, f, fingerprint.bloom(np.array(f, np.int64).view(np.uint64))))
+    kinds = {}
     for i, f, x in blobs:
-        found = []
-        for k, g, y in blobs:
-            if i != k and f & g:
-                s = fingerprint.compare(x, len(f), y, len(g)) if k < i else fingerprint.compare(y, len(g), x, len(f))
-                found += [(k, s)] * (s >= fingerprint.MATCH)
-        best = max(((s, -k) for k, s in found if k < i), default=(None, None))
-        want[i, len(f)] = sorted(found), best[1] and -best[1], best[0]
-    assert sum(len(x[0]) for x in want.values()) > 300 and (3, 100.0) in want[4, len(blobs[3][1])][0]
+        kinds.setdefault((len(f), x), [f, []])[1].append(i)
+    df = Counter(f for f, _ in kinds.values() for f in f)
+    tells = {k: set(sorted((x for x in f if df[x] > 1), key=lambda x: (df[x], x), reverse=True)[len(f) // 4 :]) | {x for x in f if df[x] == 1} for k, (f, _) in kinds.items()}
+    linked, lost = {k: [] for k in kinds}, 0
+    for p, (f, _) in kinds.items():
+        for q, (g, ids) in kinds.items():
+            both = set(f) & set(g)
+            if p != q and both:
+                s = max(fingerprint.compare(p[1], p[0], q[1], q[0]), fingerprint.compare(q[1], q[0], p[1], p[0]))
+                if s >= fingerprint.MATCH:
+                    if both & (tells[p] | tells[q]):
+                        linked[p].append((-s, min(ids)))
+                    else:
+                        lost += 1
+    assert lost == 0 and sum(map(len, linked.values())) > 60
+    want = []
+    for i, f, x in blobs:
+        k, ids = (len(f), x), kinds[len(f), x][1]
+        s, m = min(linked[k], default=(None, None))
+        want.append((i, len(f), min(ids), len(ids), len(linked[k]), m, s and -s))
     for block in (fingerprint.BLOCK, 7):
         with pytest.MonkeyPatch.context() as p:
             p.setattr(fingerprint, "BLOCK", block)
-            got = fingerprint.fingerprints(d).collect()
-        assert {(r.doc_id, r.n_features): ([tuple(x) for x in r.matches], r.match_id, r.match_score) for r in got} == want
+            got = [(r.doc_id, r.n_features, r.class_id, r.n_copies, r.n_links, r.match_id, r.match_score) for r in fingerprint.fingerprints(d).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def test_pii_spans_lead_back_to_the_source(spark, odd, none):
