@@ -9,27 +9,33 @@ from pyspark.sql import functions as F
 from chronolith.llm import minhash, mixing, packing, pii, toxicity
 from chronolith.llm.common import materialize
 
+SLOTS = 64  # of a stretch that stays together in the order of the schedule
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the last category of the chain doesn't reject; trained on the labelled ones among `docs`."""
+    """The documents that the last category of the chain doesn't reject; trained on the labelled ones among `docs`.
+
+    Null and empty texts and rows without doc_id stay; without labels all rows stay.
+    """
     return toxicity.drop_rejected(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
+    """One document of each group of near-duplicates: the smallest doc_id; rows in no group, and without doc_id, stay."""
     return minhash.drop_near_duplicates(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with identifiers replaced by their kind."""
+    """The documents with identifiers replaced by their kind; all other columns, and null and empty texts, as they are."""
     return pii.mask_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each part of a document in each slot of the schedule, so sources weigh what their targets say.
 
-    Every token appears at least once.  Only documents across a block's edge are cut.  Rows carry no slot: the
-    columns are those of the documents, and packing regroups them by length.
+    Every token appears at least once.  Only documents across a block's edge are cut.  The columns are those of the
+    documents; the slot is in the order of the rows: each file holds stretches of SLOTS slots in the order of the
+    schedule, and packing keeps that order.
     """
     keep = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
     mixed = mixing.mix(docs, keep=keep, names=[f"kept_{i}" for i in range(len(keep))])
@@ -38,11 +44,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         kept = F.col(f"kept_{i}")
         recount = F.length("text").cast(docs.schema[c].dataType)
         columns[c] = F.when(F.col("whole"), kept).otherwise(recount) if c == "n_chars" else kept
-    return mixed.select(*[columns[c].alias(c) for c in docs.columns])
+    ordered = mixed.repartition(F.expr(f"slot div {SLOTS}")).sortWithinPartitions("slot", "doc_id", "start")
+    return ordered.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2**k tokens, none across two documents."""
+    """Sequences of 2**k tokens, none across two documents; null, empty and blank texts give none."""
     return packing.pack(docs)
 
 
@@ -54,11 +61,17 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: MinHash, the classifier chain and the detectors have no SQL; tests hold the rows against brute force.
+#: MinHash, the classifier chain and the detectors have no SQL; a test holds the rows against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of `sf_dir`, each written and read again: doc_id, bucket, start, n_tokens, text.
+
+    `start` counts within the part that mixing cut, which may appear several times.  Null, empty and blank texts give
+    no row; a null doc_id and a null source are values like others; repeated rows with a doc_id count once, those
+    without are each kept; texts of any length are used whole; an empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
