@@ -24,7 +24,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def block_list(pages: DataFrame) -> DataFrame:
     """A dated list over all hosts of the pages: blocked, half of them cleared after 90 days, one path allowed."""
-    host = F.regexp_extract(F.lower("url"), "^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1)
+    host = urlfilter.host_of(F.col("url"))
     h = pages.select(host.alias("host")).filter("host <> ''").distinct()
     h = h.withColumn("day", F.expr("CAST(conv(substr(md5(host), 1, 3), 16, 10) AS BIGINT) % 720")).withColumn("odd", F.expr("conv(substr(md5(host), 4, 1), 16, 10) % 2"))
     rows = F.expr("""array(
@@ -43,10 +43,10 @@ def _url_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("fetched_at", F.unix_timestamp("fetched_at"))
 
 
-URL_SQL = f"""
+URL_SQL = rf"""
 WITH c AS (
   SELECT DISTINCT page_id, url, {BASE} + (page_id % 720) * {DAY} + page_id % {DAY} AS fetched_at,
-         regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)', 1) AS host,
+         rtrim(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?(\[[^]/?#]*\]|[^/:?#]+)', 1), '.') AS host,
          regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), h AS (
@@ -66,7 +66,7 @@ WITH c AS (
 ), hit AS (
   SELECT c.page_id, c.url, c.fetched_at, iv.pattern, iv.action
   FROM c JOIN iv ON iv.action <> 'clear' AND iv.f <= c.fetched_at AND (iv.t IS NULL OR c.fetched_at < iv.t)
-   AND (c.host = iv.pattern OR ends_with(c.host, '.' || iv.pattern)
+   AND (c.host = iv.pattern OR (ends_with(c.host, '.' || iv.pattern) AND NOT regexp_full_match(c.host, '[0-9.]*'))
         OR (contains(iv.pattern, '/') AND starts_with(c.host || rtrim(regexp_replace(c.path, '/+', '/', 'g'), '/') || '/', iv.pattern || '/')))
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY page_id, url, fetched_at ORDER BY length(pattern) DESC, pattern DESC) AS n FROM hit
@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": lambda spark, d: chat.format_chats(_table(spark, d, "conversations")),
         "op2_mix_sources": docs(mixing.mix),
-        "op3_exact_topk": lambda spark, d: topk.topk(_table(spark, d, "embeddings")),
+        "op3_exact_topk": lambda spark, d: topk.topk(_table(spark, d, "embeddings"), queries=F.col("vec_id") % topk.EVERY == 0),
         "op4_pack": docs(packing.pack),
         "op5_near_duplicates": docs(minhash.near_duplicates),
         "op6_url_filter": _url_filter,

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import in_arrow, materialize
 
@@ -15,6 +16,8 @@ K = 10
 ONE = 1 << 29  # a cosine of 1 on the integer scale of the scores
 BITS = (18, 6, 0)  # log2 of the bin width of each round of refinement
 ROWS = 4096  # vectors of a block
+EVERY = 20  # the registered query asks for the vectors whose id it divides
+TASKS = 16  # of a round, for each core
 STRIP = 128  # queries of a block whose scores are held at once
 
 
@@ -38,10 +41,10 @@ def _pairs(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[np.ndarray, np.nd
     """Query ids, integer scores (queries x corpus; own id below all), corpus ids and query rows, by strips of each block pair."""
     for i in range(batch.num_rows):
         q, c = batch.column("queries")[i].values, batch.column("corpus")[i].values
-        ci, cm = c.field("id").to_numpy(), _matrix(c.field("v"), dims).T
+        ci, cm = c.field("id").to_numpy(zero_copy_only=False), _matrix(c.field("v"), dims).T
         for at in range(0, len(q), STRIP):  # a strip's scores are all that is held at once
             part = q.slice(at, STRIP)
-            qi = part.field("id").to_numpy()
+            qi = part.field("id").to_numpy(zero_copy_only=False)
             s = np.rint(_matrix(part.field("v"), dims) @ cm * ONE).astype(np.int64) + ONE
             s[qi[:, None] == ci[None, :]] = -1
             yield qi, s, ci, part
@@ -78,37 +81,51 @@ def _hits(dims: int) -> Callable:
     return run
 
 
-def topk(vectors: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
-    """The k nearest other vectors of every vector by cosine, exactly.
+def _grid(blocks: int, query_blocks: int, tasks: int) -> tuple[int, int]:
+    """Partitions of the queries and of the corpus: about `tasks` pairs of them, whatever the number of blocks."""
+    of_queries = max(1, min(query_blocks, round((tasks * query_blocks / blocks) ** 0.5)))
+    return of_queries, max(1, min(blocks, -(-tasks // of_queries)))
 
-    Scores are cosines as integers (2**-29 apart).  Every round scores all pairs of blocks, adds up each query's
-    histogram over the corpus, and narrows the query's interval to the bin that holds its k-th value, with bins of
+
+def topk(vectors: DataFrame, k: int = K, rows: int = ROWS, queries: Column | None = None) -> DataFrame:
+    """The k nearest other vectors by cosine, exactly, of every vector, or of those that meet `queries`, against all.
+
+    Scores are cosines as integers (2**-29 apart).  Every round scores the queries against all vectors, adds up each
+    query's histogram over the corpus, and narrows its interval to the bin that holds its k-th value, with bins of
     2**18, 2**6 and 1; it ends early when no such bin holds more than k.  A last pass keeps the scores from the
     interval on, and ranks by score, then smaller vec_id.  Scores are never stored or shuffled: of each pair of
-    blocks come at most k bins a query, then the hits.  Blocks hold `rows` vectors; their number follows the table.
+    blocks come at most k bins a query, then the hits.  Blocks hold about `rows` vectors in the order of their ids, so
+    a score comes out the same in every round.  Blocks of queries and of the corpus are dealt to a grid of partitions
+    whose pairs are the tasks: these grow with the cores, not with the pairs of blocks.
 
-    Result: query_id, rank (from 1), vec_id, score (6 decimals).
+    Result: query_id, rank (from 1), vec_id, score (6 decimals); ids are of any type that sorts.
     A query with fewer than k others gets them all.  Rows without id, or whose vector is null or empty, are left out;
     null and non-finite elements count as 0, a zero vector has cosine 0 with all, shorter vectors are filled up with
-    zeros.  Of rows with one vec_id the largest vector counts.  An empty table gives an empty result.
+    zeros.  Of rows with one vec_id the largest vector counts.  An empty table gives an empty result.  Other columns
+    are ignored, whatever their names, unless `queries` names them.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    v = materialize(v.filter("id IS NOT NULL AND size(v) > 0").groupBy("id").agg(F.max("v").alias("v")), "vectors")
-    size = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()  # one row
-    if not size.n:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    blocks, dims = -(-size.n // rows), size.dims
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-
-    def packed(df: DataFrame, name: str, *cols: str) -> DataFrame:
-        return df.groupBy(block).agg(F.collect_list(F.struct("id", "v", *cols)).alias(name)).repartition(blocks, "block").select(name)
-
-    corpus = packed(v, "corpus")
-    bounds = v.select("id", F.lit(0).cast("long").alias("lo"), F.lit(2 * ONE + 1).cast("long").alias("hi"), F.lit(0).cast("long").alias("above"))
+    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asks"))
+    id_type = v.schema["id"].dataType
+    v = materialize(v.filter("id IS NOT NULL AND size(v) > 0").groupBy("id").agg(F.max("v").alias("v"), F.max("asks").alias("asks")), "vectors")
+    size = v.agg(F.count("*").alias("n"), F.count_if("asks").alias("asks"), F.max(F.size("v")).alias("dims")).first()  # one row
+    result = StructType([StructField("query_id", id_type), StructField("rank", IntegerType()), StructField("vec_id", id_type), StructField("score", DoubleType())])
+    if not size.asks:
+        return spark.createDataFrame([], result)
+    blocks, query_blocks, dims = -(-size.n // rows), -(-size.asks // rows), size.dims
+    of_queries, of_corpus = _grid(blocks, query_blocks, TASKS * spark.sparkContext.defaultParallelism)
+
+    def packed(df: DataFrame, name: str, blocks: int, parts: int, *cols: str) -> DataFrame:
+        by_block = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+        lists = by_block.agg(F.array_sort(F.collect_list(F.struct("id", "v", *cols))).alias(name))
+        return lists.repartitionById(parts, F.expr(f"CAST(block % {parts} AS INT)")).select(name)
+
+    asking, corpus = v.filter("asks").select("id", "v"), packed(v, "corpus", blocks, of_corpus)
+    bounds = asking.select("id", F.lit(0).cast("long").alias("lo"), F.lit(2 * ONE + 1).cast("long").alias("hi"), F.lit(0).cast("long").alias("above"))
+    found_bins = StructType([StructField("id", id_type), *StructType.fromDDL("bin bigint, n bigint").fields])
     for bits in BITS:
-        pairs = packed(v.join(bounds, "id"), "queries", "lo", "hi").crossJoin(corpus)
-        bins = in_arrow(pairs, _histograms(k, bits, dims), "id bigint, bin bigint, n bigint").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+        pairs = packed(asking.join(bounds, "id"), "queries", query_blocks, of_queries, "lo", "hi").crossJoin(corpus)
+        bins = in_arrow(pairs, _histograms(k, bits, dims), found_bins).groupBy("id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("id").orderBy(F.desc("bin"))
         bins = bins.join(bounds.select("id", "above"), "id").withColumn("upto", F.col("above") + F.sum("n").over(down))
         found = bins.filter(f"upto >= {k} AND upto - n < {k}").select(
@@ -119,8 +136,8 @@ def topk(vectors: DataFrame, k: int = K, rows: int = ROWS) -> DataFrame:
         bounds = materialize(found.unionByName(kept), "bounds")
         if bounds.filter(f"n > {k}").isEmpty():
             break
-    hits = packed(v.join(bounds.select("id", "lo"), "id"), "queries", "lo").crossJoin(corpus)
-    hits = in_arrow(hits, _hits(dims), "query_id bigint, vec_id bigint, s bigint")
+    hits = packed(asking.join(bounds.select("id", "lo"), "id"), "queries", query_blocks, of_queries, "lo").crossJoin(corpus)
+    hits = in_arrow(hits, _hits(dims), StructType([StructField("query_id", id_type), StructField("vec_id", id_type), StructField("s", LongType())]))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", F.round((F.col("s") - ONE) / ONE, 6).alias("score"))
@@ -133,7 +150,7 @@ WITH v AS (
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(round(list_inner_product(q.e, c.e) / (q.norm * c.norm) * {ONE}) AS BIGINT) AS s
-  FROM u q JOIN u c ON q.vec_id <> c.vec_id
+  FROM u q JOIN u c ON q.vec_id <> c.vec_id AND q.vec_id % {EVERY} = 0
 )
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, round(s / {ONE}.0, 6) AS score
 FROM s WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, vec_id)
