@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import MapType, StringType
 
 INVISIBLE = "".join(map(chr, [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, *range(0xFFF9, 0xFFFC)]))
 _DROP = dict.fromkeys(map(ord, INVISIBLE))
@@ -69,12 +69,34 @@ def content_hash(namespace: str, json_column: Column) -> Column:
 
 def canonical_slots(slots: Column) -> Column:
     """Slots with canonical keys and values, in key order; keys that collapse with different values are an error."""
+    plain = F.forall(F.map_entries(slots), lambda e: _is_ascii(e["key"]) & _is_ascii(F.coalesce(e["value"], F.lit(""))))
     pairs = F.array_distinct(F.transform(F.map_entries(slots), lambda e: F.struct(canonical_sql(e["key"]).alias("key"), canonical_sql(e["value"]).alias("value"))))
-    return F.map_from_entries(F.array_sort(pairs))
+    fast = F.map_from_entries(F.array_sort(pairs))
+    other = F.map_from_entries(F.array_sort(F.map_entries(_other_slots(F.when(~plain, slots)))))
+    return F.when(plain, fast).otherwise(other)
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def slots_of(pairs: dict[str, str | None]) -> dict[str, str | None]:
+    out: dict[str, str | None] = {}
+    for key, value in pairs.items():
+        k, v = canonical_text(key), None if value is None else canonical_text(value)
+        if out.setdefault(k, v) != v:
+            raise ValueError(f"slot {k!r} has two values")
+    return out
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _other_slots(s: pd.Series) -> pd.Series:
+    """Slots with characters that need Unicode normalisation; others reach it as nulls."""
+    return s.map(lambda m: None if m is None else slots_of(dict(m)))
 
 
 def canonical_sql(c: Column) -> Column:
-    """Canonical text inside lambdas, where no UDF may stand: exact for text that is already normalised (NFC)."""
+    """Canonical text inside lambdas, where no UDF may stand: exact for ASCII."""
     return F.lower(F.trim(F.regexp_replace(F.translate(c, INVISIBLE, ""), "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+", " ")))
 
 

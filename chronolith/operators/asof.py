@@ -80,9 +80,12 @@ def pending_relations_as_of(bucketed: DataFrame, tx_id: int, revision_id: str |
 
 def relation_lifecycle(bucketed: DataFrame, revs: DataFrame, tx_id: int, valid_at: str | Column, revision_id: str | None = None) -> DataFrame:
     """bucket, id, tx_id and the payload of edges that are active (both endpoints win) or pending."""
-    cols = ["bucket", F.col("relation_id").alias("id"), "tx_id", "relation_type", "from_revision_id", "to_revision_id", "recorded_at"]
-    live = relations_as_of(bucketed, revs, tx_id, valid_at, revision_id, active_only=True).select(*cols)
-    return live.unionByName(pending_relations_as_of(bucketed, tx_id, revision_id).select(*cols))
+    d = _touches(bucketed.filter(F.col("tx_id") <= tx_id), revision_id)
+    w = winners(revs, tx_id, valid_at).filter("status = 'asserted'").select("revision_id")
+    for side, flag in (("from_revision_id", "f_"), ("to_revision_id", "t_")):
+        d = d.join(w.select(F.col("revision_id").alias(side), F.lit(True).alias(flag)), side, "left")
+    live = d.filter((F.col("bucket") == "pending") | (F.col("f_") & F.col("t_")))
+    return live.select("bucket", F.col("relation_id").alias("id"), "tx_id", "relation_type", "from_revision_id", "to_revision_id", "recorded_at")
 
 
 def relation_resolution(bucketed: DataFrame, revs: DataFrame, tx_id: int, valid_at: str | Column, core_id: str | None = None) -> DataFrame:
@@ -113,8 +116,13 @@ def for_tx_window(project: Callable[[int], DataFrame], tx_start: int, tx_end: in
 
 
 def transition(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `after` that `before` lacks (entered) and the reverse (exited), by bucket and keys."""
+    """Rows of `after` that `before` lacks (entered) and the reverse (exited), by bucket and keys.
+
+    Both sides are tagged and grouped once by what identifies a row, so each is computed once and combined before
+    the shuffle.
+    """
     on = ["bucket", *keys] if "bucket" in before.columns else keys
-    entered = after.join(before.select(*on), on, "left_anti").withColumn("change", F.lit("entered"))
-    exited = before.join(after.select(*on), on, "left_anti").withColumn("change", F.lit("exited"))
-    return entered.unionByName(exited)
+    rest = [c for c in before.columns if c not in on]
+    both = before.withColumn("side", F.lit(0)).unionByName(after.withColumn("side", F.lit(1)))
+    g = both.groupBy(*on).agg(F.min("side").alias("a"), F.max("side").alias("b"), *[F.min(c).alias(c) for c in rest]).filter("a = b")
+    return g.withColumn("change", F.when(F.col("a") == 1, "entered").otherwise("exited")).select(*before.columns, "change")

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables as tb
+from ..tables import early, late
 from ..functions import identity as ident
 from ..operators import asof, facts, merge
 from ..operators import state as st
 
-T, T0, V = tb.T, tb.T0, tb.V
+V = tb.V
+T = "(SELECT max(event_id) // 100 * 6 // 10 FROM events)"
+T0 = "(SELECT max(event_id) // 100 * 3 // 10 FROM events)"
 VT = f"TIMESTAMP '{V} 00:00:00'"
 
 REV = """rev AS (
@@ -38,7 +41,7 @@ REL = f"""rel0 AS (
          || '","transaction_time":{{"recorded_at":"' || lower({ISO.format("recorded_at")}) || '","tx_id":' || tx_id || '}}}}') AS relation_id, * FROM rel1)"""
 
 
-def win(t: int = T, v: str = V, name: str = "win") -> str:
+def win(t: str = T, v: str = V, name: str = "win") -> str:
     return f"""{name} AS (
   SELECT core_id, revision_id, status, tx_id FROM (
     SELECT *, row_number() OVER (PARTITION BY core_id ORDER BY CASE status WHEN 'retracted' THEN 1 ELSE 0 END, tx_id DESC, revision_id) AS q FROM (
@@ -47,7 +50,7 @@ def win(t: int = T, v: str = V, name: str = "win") -> str:
       FROM rev WHERE tx_id <= {t} AND vt_start <= TIMESTAMP '{v} 00:00:00' AND (vt_end IS NULL OR TIMESTAMP '{v} 00:00:00' < vt_end)) WHERE r = 1) WHERE q = 1)"""
 
 
-def life(t: int = T, v: str = V, name: str = "life", w: str = "win") -> str:
+def life(t: str = T, v: str = V, name: str = "life", w: str = "win") -> str:
     known = "from_revision_id IN (SELECT revision_id FROM rev) AND to_revision_id IN (SELECT revision_id FROM rev)"
     won = f"(SELECT revision_id FROM {w} WHERE status = 'asserted')"
     cols = "relation_id AS id, tx_id, relation_type, from_revision_id, to_revision_id, recorded_at"
@@ -67,6 +70,8 @@ UNION ALL SELECT 'exited', {keys} FROM (SELECT {keys} FROM {before} EXCEPT SELEC
 
 CORE = """(SELECT core_id FROM rev JOIN rel ON rel.from_revision_id = rev.revision_id AND rel.relation_type = 'depends_on'
            WHERE rel.relation_id IN (SELECT id FROM life WHERE bucket = 'active') ORDER BY core_id LIMIT 1)"""
+RESOLVED = """{0} AS (SELECT bucket, id, tx_id FROM {2}, (SELECT min(revision_id) AS w FROM {1} WHERE status = 'asserted' AND core_id = """ + CORE + """)
+  WHERE from_revision_id = w OR to_revision_id = w)"""
 MERGED = REV + ",\n" + REL + """,
 ra AS (SELECT * FROM rev WHERE event_id % 3 <> 0),
 rb AS (SELECT * REPLACE (confidence_bp + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS confidence_bp) FROM rev WHERE event_id % 3 <> 1),
@@ -77,6 +82,9 @@ pk AS (SELECT relation_id, relation_type, from_revision_id, to_revision_id, tx_i
        UNION ALL SELECT relation_id, relation_type, from_revision_id, to_revision_id, tx_id, """ + ISO.format("recorded_at") + """, 1 FROM eb),
 ps AS (SELECT *, relation_type || '|' || from_revision_id || '|' || to_revision_id || '|' || tx_id || '|' || rec AS sig FROM pk),
 conflicts AS (
+  SELECT DISTINCT 'core_id_collision' AS code, core_id AS entity_id, 'incoming core payload differs for same core_id' AS details
+  FROM ra WHERE core_id LIKE '0%' AND core_id IN (SELECT core_id FROM rb)
+  UNION ALL
   SELECT 'revision_id_collision' AS code, ra.revision_id AS entity_id, 'incoming revision payload differs for same revision_id' AS details
   FROM ra JOIN rb USING (revision_id) WHERE ra.confidence_bp <> rb.confidence_bp
   UNION ALL
@@ -107,32 +115,50 @@ def _counts(source: str, where: str) -> str:
 FROM {source} WHERE {where} GROUP BY GROUPING SETS ((code, entity_id, details), (code))"""
 
 
+def _list(text: str, source: str, where: str) -> str:
+    return f"(SELECT '[' || coalesce(string_agg(x, ',' ORDER BY x), '') || ']' FROM (SELECT {text} AS x FROM {source} WHERE {where}))"
+
+
+def _digest() -> str:
+    """The fingerprint's ten lists as one JSON text, and its hash."""
+    quoted = "'\"' || id || '\"'"
+    sig = "'[\"' || concat_ws('\",\"', bucket, relation_id, relation_type, from_revision_id, to_revision_id) || '\",' || tx_id || ',\"' || recorded_at || '\"]'"
+    parts = [_list(quoted, "revlife", f"bucket = '{b}'") for b in ("active", "retracted")]
+    parts += [_list(quoted, "life", f"bucket = '{b}'") for b in ("active", "pending")] * 2
+    parts += [_list(sig, "sig", f"bucket = '{b}'") for b in ("active", "pending")]
+    parts += [_list("'[\"' || concat_ws('\",\"', code, entity_id, details) || '\",' || count || ']'", "counts", "kind = 'signature'"), _list("'[\"' || code || '\",' || count || ']'", "counts", "kind = 'code'")]
+    return f"""WITH {REV}, {REL}, {win()}, {life()}, {JOURNAL}, revlife AS ({REVLIFE.format("win")}), sig AS ({SIG.format("life")}),
+counts AS ({_counts("journal", f"tx_id <= {T}")}), op AS (SELECT '[' || {" || ',' || ".join(parts)} || ']' AS ordered_projection)
+SELECT ordered_projection, sha256('deterministic_state_fingerprint:{{"ordered_projection":' || lower(ordered_projection) || '}}') AS digest FROM op"""
+
+
 def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     def R(spark: SparkSession, d: str) -> DataFrame:
         return tb.revisions(spark, d)
 
     def E(spark: SparkSession, d: str) -> DataFrame:
-        return asof.with_bucket(tb.relations(spark, d), R(spark, d))
+        return tb.bucketed(spark, d)
 
-    def W(spark: SparkSession, d: str, t: int = T, v: str = V) -> DataFrame:
-        return asof.relation_lifecycle(E(spark, d), R(spark, d), t, v)
+    def W(spark: SparkSession, d: str, t: int | None = None, v: str = V) -> DataFrame:
+        return asof.relation_lifecycle(E(spark, d), R(spark, d), late(spark, d) if t is None else t, v)
 
     def conflicts(spark: SparkSession, d: str) -> DataFrame:
-        return merge.merge(*tb.replicas(spark, d))[1]
+        return merge.merge(*tb.written_replicas(spark, d))[1]
 
     def code(*codes: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, d: conflicts(spark, d).filter(F.col("code").isin(*codes))
 
-    def resolution(spark: SparkSession, d: str) -> DataFrame:
-        life_, r = W(spark, d), R(spark, d)
-        ends = life_.filter("bucket = 'active' AND relation_type = 'depends_on'").select(F.col("from_revision_id").alias("revision_id"))
-        core = r.join(ends, "revision_id", "left_semi").agg(F.min("core_id").alias("c"))
-        w = asof.query_as_of(r, T, V).join(F.broadcast(core), F.col("core_id") == F.col("c")).select(F.col("revision_id").alias("w_"))  # one row
-        return life_.join(F.broadcast(w), (F.col("w_") == F.col("from_revision_id")) | (F.col("w_") == F.col("to_revision_id")), "left_semi").select("bucket", "id", "tx_id")
+    def core(spark: SparkSession, d: str) -> str | None:
+        """The first core whose winner depends on another winner."""
+        ends = W(spark, d).filter("bucket = 'active' AND relation_type = 'depends_on'").select(F.col("from_revision_id").alias("revision_id"))
+        return R(spark, d).join(ends, "revision_id", "left_semi").agg(F.min("core_id").alias("c")).first().c  # one row
+
+    def resolution(spark: SparkSession, d: str, t: int) -> DataFrame:
+        return asof.relation_resolution(E(spark, d), R(spark, d), t, V, core(spark, d) or "")
 
     def merged(part: str) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, d: str) -> DataFrame:
-            m = merge.merge(*tb.replicas(spark, d))[0]
+            m = merge.merge(*tb.written_replicas(spark, d))[0]
             if part == "revisions":
                 return m.revisions.select("revision_id", "core_id", "status", "tx_id", "confidence_bp")
             return asof.with_bucket(m.relations, m.revisions).select("relation_id", "relation_type", "from_revision_id", "to_revision_id", "tx_id", "bucket")
@@ -154,7 +180,7 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
       || '","tx_id":' || tx_id || '}},"valid_time":{{"end":' || coalesce('"' || lower({ISO.format("vt_end")}) || '"', 'null') || ',"start":"' || lower({ISO.format("vt_start")}) || '"}}}}')"""
 
     def sig_window(spark: SparkSession, d: str, v: str) -> DataFrame:
-        return asof.for_tx_window(lambda t: asof.relation_signatures(W(spark, d, t, v)), T0, T)
+        return asof.for_tx_window(lambda t: asof.relation_signatures(W(spark, d, t, v)), early(spark, d), late(spark, d))
 
     def J(spark: SparkSession, d: str) -> DataFrame:
         return tb.journal(spark, d)
@@ -165,10 +191,25 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", ident.core_id(F.lit("customer"), ident.canonical_slots(F.create_map(F.lit("Name"), "c_name", F.lit("segment"), "c_mktsegment"))).alias("core_id")),
             """SELECT c_custkey, sha256('claim_core:{"claim_type":"customer","slots":{"name":"' || lower(c_name) || '","segment":"' || lower(c_mktsegment) || '"}}') AS core_id FROM customer""",
         ),
+        "core_identity_unicode": (
+            lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", ident.core_id(F.lit("supplier"), ident.canonical_slots(F.create_map(F.lit("Cafe\u0301"), F.concat(F.lit("A\u030a "), "s_name"), F.lit("n"), F.lit("1")))).alias("core_id")),
+            r"""SELECT s_suppkey, sha256('claim_core:{"claim_type":"supplier","slots":{"caf\u00e9":"\u00e5 ' || lower(s_name) || '","n":"1"}}') AS core_id FROM supplier""",
+        ),
+        "merge_cores": (
+            lambda s, d: merge.merge(*tb.written_replicas(s, d))[0].cores.select("core_id", "claim_type"),
+            f"WITH {MERGED} SELECT DISTINCT core_id, CASE WHEN core_id LIKE '0%' AND core_id NOT IN (SELECT core_id FROM ra) THEN 'event.other' ELSE 'event.user' END AS claim_type FROM um",
+        ),
+        "conflicts_core_collision": (code("core_id_collision"), f"WITH {MERGED} SELECT * FROM conflicts WHERE code = 'core_id_collision'"),
+        "snapshot_duplicate_ids": (
+            lambda s, d: st.violations(tb.doubled(s, d)).filter("path LIKE '%.unique'").select("path", "id"),
+            f"""WITH {REV}, {REL} SELECT 'revisions.unique' AS path, revision_id AS id FROM rev WHERE event_id % 7 = 0
+UNION ALL SELECT 'relations.unique', relation_id FROM rel WHERE event_id % 7 = 0
+UNION ALL SELECT 'cores.unique', core_id FROM (SELECT DISTINCT core_id FROM rev) WHERE core_id LIKE '0%'""",
+        ),
         "revision_identity": (identity, f"{base} SELECT {rid} AS revision_id, core_id, tx_id FROM rev JOIN (SELECT event_id, event_type FROM events) USING (event_id)"),
         "relation_identity": (lambda s, d: tb.relations(s, d).drop("event_id", "recorded_at"), f"WITH {REL} SELECT relation_id, relation_type, from_revision_id, to_revision_id, tx_id FROM rel"),
-        "winners_as_of": (lambda s, d: asof.winners(R(s, d), T, V), f"{base}, {win()} SELECT * FROM win"),
-        "query_as_of": (lambda s, d: asof.query_as_of(R(s, d), T, V), f"{base}, {win()} SELECT * FROM win WHERE status = 'asserted'"),
+        "winners_as_of": (lambda s, d: asof.winners(R(s, d), late(s, d), V), f"{base}, {win()} SELECT * FROM win"),
+        "query_as_of": (lambda s, d: asof.query_as_of(R(s, d), late(s, d), V), f"{base}, {win()} SELECT * FROM win WHERE status = 'asserted'"),
         "tainted_cores": (lambda s, d: facts.tainted(R(s, d)), f"{base} SELECT DISTINCT core_id FROM rev WHERE status = 'retracted'"),
         "active_rows": (
             lambda s, d: facts.active(R(s, d)).select("revision_id", "core_id", "tx_id"),
@@ -178,44 +219,41 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             lambda s, d: asof.revision_signatures(R(s, d)),
             f"{base} SELECT revision_id, core_id, status, {ISO.format('vt_start')} AS valid_start, coalesce({ISO.format('vt_end')}, '') AS valid_end, tx_id, {ISO.format('recorded_at')} AS recorded_at FROM rev",
         ),
-        "revision_lifecycle_asof": (lambda s, d: asof.revision_lifecycle(R(s, d), T, V), f"{base}, {win()} {REVLIFE.format('win')}"),
+        "revision_lifecycle_asof": (lambda s, d: asof.revision_lifecycle(R(s, d), late(s, d), V), f"{base}, {win()} {REVLIFE.format('win')}"),
         "revision_lifecycle_window": (
-            lambda s, d: asof.for_tx_window(lambda t: asof.revision_lifecycle(R(s, d), t, V), T0, T),
+            lambda s, d: asof.for_tx_window(lambda t: asof.revision_lifecycle(R(s, d), t, V), early(s, d), late(s, d)),
             f"{base}, {win()} {REVLIFE.format('win')} WHERE tx_id BETWEEN {T0} AND {T}",
         ),
         "revision_lifecycle_transition": (
-            lambda s, d: asof.transition(asof.revision_lifecycle(R(s, d), T0, V), asof.revision_lifecycle(R(s, d), T, V), ["id"]),
+            lambda s, d: asof.transition(asof.revision_lifecycle(R(s, d), early(s, d), V), asof.revision_lifecycle(R(s, d), late(s, d), V), ["id"]),
             f"{base}, {win(T0, V, 'w0')}, {win()}, a AS ({REVLIFE.format('w0')}), b AS ({REVLIFE.format('win')}) {_change('a', 'b', 'bucket, id, tx_id')}",
         ),
         "relations_asof": (
-            lambda s, d: asof.relations_as_of(E(s, d), R(s, d), T).select("relation_id", "tx_id"),
+            lambda s, d: asof.relations_as_of(E(s, d), R(s, d), late(s, d)).select("relation_id", "tx_id"),
             f"{both} SELECT relation_id, tx_id FROM rel WHERE tx_id <= {T} AND from_revision_id IN (SELECT revision_id FROM rev) AND to_revision_id IN (SELECT revision_id FROM rev)",
         ),
         "relations_active": (
-            lambda s, d: asof.relations_as_of(E(s, d), R(s, d), T, V, active_only=True).select("relation_id", "tx_id"),
+            lambda s, d: asof.relations_as_of(E(s, d), R(s, d), late(s, d), V, active_only=True).select("relation_id", "tx_id"),
             f"{both} SELECT id AS relation_id, tx_id FROM life WHERE bucket = 'active'",
         ),
-        "pending_asof": (lambda s, d: asof.pending_relations_as_of(E(s, d), T).select("relation_id", "tx_id"), f"{both} SELECT id AS relation_id, tx_id FROM life WHERE bucket = 'pending'"),
+        "pending_asof": (lambda s, d: asof.pending_relations_as_of(E(s, d), late(s, d)).select("relation_id", "tx_id"), f"{both} SELECT id AS relation_id, tx_id FROM life WHERE bucket = 'pending'"),
         "relation_lifecycle_asof": (lambda s, d: W(s, d).select(*pick), f"{both} SELECT bucket, id, tx_id FROM life"),
         "relation_lifecycle_window": (
-            lambda s, d: asof.for_tx_window(lambda t: W(s, d, t), T0, T).select(*pick),
+            lambda s, d: asof.for_tx_window(lambda t: W(s, d, t), early(s, d), late(s, d)).select(*pick),
             f"{both} SELECT bucket, id, tx_id FROM life WHERE tx_id BETWEEN {T0} AND {T}",
         ),
         "relation_lifecycle_transition": (
-            lambda s, d: asof.transition(W(s, d, T0), W(s, d), ["id"]).select("change", *pick),
+            lambda s, d: asof.transition(W(s, d, early(s, d)), W(s, d), ["id"]).select("change", *pick),
             f"{two} {_change('l0', 'life', 'bucket, id, tx_id')}",
         ),
-        "relation_resolution_asof": (
-            resolution,
-            f"{both}, w AS (SELECT revision_id FROM win WHERE status = 'asserted' AND core_id = {CORE}) SELECT bucket, id, tx_id FROM life WHERE from_revision_id IN (SELECT revision_id FROM w) OR to_revision_id IN (SELECT revision_id FROM w)",
-        ),
+        "relation_resolution_asof": (lambda s, d: resolution(s, d, late(s, d)).select(*pick), f"{both}, {RESOLVED.format('res', 'win', 'life')} SELECT * FROM res"),
         "relation_resolution_window": (
-            lambda s, d: asof.for_tx_window(lambda t: asof.relation_resolution(E(s, d), R(s, d), t, V), T0, T).select(*pick),
-            f"{both} SELECT bucket, id, tx_id FROM life WHERE tx_id BETWEEN {T0} AND {T}",
+            lambda s, d: asof.for_tx_window(lambda t: resolution(s, d, t), early(s, d), late(s, d)).select(*pick),
+            f"{both}, {RESOLVED.format('res', 'win', 'life')} SELECT * FROM res WHERE tx_id BETWEEN {T0} AND {T}",
         ),
         "relation_resolution_transition": (
-            lambda s, d: asof.transition(asof.relation_resolution(E(s, d), R(s, d), T0, V), asof.relation_resolution(E(s, d), R(s, d), T, V), ["id"]).select("change", *pick),
-            f"{two} {_change('l0', 'life', 'bucket, id, tx_id')}",
+            lambda s, d: asof.transition(resolution(s, d, early(s, d)), resolution(s, d, late(s, d)), ["id"]).select("change", *pick),
+            f"{two}, {RESOLVED.format('r0', 'w0', 'l0')}, {RESOLVED.format('res', 'win', 'life')} {_change('r0', 'res', 'bucket, id, tx_id')}",
         ),
         "relation_signatures_asof": (lambda s, d: asof.relation_signatures(W(s, d)), f"{both} {SIG.format('life')}"),
         "relation_signatures_window": (lambda s, d: sig_window(s, d, V), f"{both} {SIG.format('life')} WHERE tx_id BETWEEN {T0} AND {T}"),
@@ -240,33 +278,32 @@ SELECT relation_id, relation_type, from_revision_id, to_revision_id, tx_id,
             lambda s, d: merge.combine_counts(merge.code_counts(J(s, d).filter("seq % 2 = 0")), merge.code_counts(J(s, d).filter("seq % 2 = 1"))),
             f"WITH {JOURNAL} SELECT code, CAST(count(*) AS BIGINT) AS count FROM journal GROUP BY code",
         ),
-        "conflict_projection_asof": (lambda s, d: merge.conflicts_as_of(J(s, d), T), f"WITH {JOURNAL} {_counts('journal', f'tx_id <= {T}')}"),
-        "conflict_projection_window": (lambda s, d: merge.conflicts_for_tx_window(J(s, d), T0, T), f"WITH {JOURNAL} {_counts('journal', f'tx_id BETWEEN {T0} AND {T}')}"),
+        "conflict_projection_asof": (lambda s, d: merge.conflicts_as_of(J(s, d), late(s, d)), f"WITH {JOURNAL} {_counts('journal', f'tx_id <= {T}')}"),
+        "conflict_projection_window": (lambda s, d: merge.conflicts_for_tx_window(J(s, d), early(s, d), late(s, d)), f"WITH {JOURNAL} {_counts('journal', f'tx_id BETWEEN {T0} AND {T}')}"),
         "conflict_projection_transition": (
-            lambda s, d: merge.conflicts_transition(J(s, d), T0, T),
+            lambda s, d: merge.conflicts_transition(J(s, d), early(s, d), late(s, d)),
             f"WITH {JOURNAL}, a AS ({_counts('journal', f'tx_id <= {T0}')}), b AS ({_counts('journal', f'tx_id <= {T}')}) {_change('a', 'b', 'kind, code, entity_id, details, count')}",
         ),
         "journal_unknown_tx": (
-            lambda s, d: merge.unknown_journal_txs(J(s, d), tb.replicas(s, d)[0]),
+            lambda s, d: merge.unknown_journal_txs(J(s, d), tb.written_replicas(s, d)[0]),
             f"WITH {REV}, {JOURNAL} SELECT DISTINCT tx_id FROM journal WHERE tx_id NOT IN (SELECT tx_id FROM rev)",
         ),
         "pending_promotion": (
-            lambda s, d: st.promoted(*tb.replicas(s, d)),
+            lambda s, d: st.promoted(*tb.written_replicas(s, d)),
             f"""WITH {MERGED} SELECT DISTINCT relation_id FROM ea WHERE NOT (from_revision_id IN (SELECT revision_id FROM ra) AND to_revision_id IN (SELECT revision_id FROM ra))
   AND from_revision_id IN (SELECT revision_id FROM um) AND to_revision_id IN (SELECT revision_id FROM um)""",
         ),
         "state_fingerprint_lists": (
-            lambda s, d: st.fingerprint_lists(R(s, d), E(s, d), J(s, d), T, V),
+            lambda s, d: st.fingerprint_lists(R(s, d), E(s, d), J(s, d), late(s, d), V),
             f"""WITH {REV}, {REL}, {win()}, {life()}
 SELECT 'revision_' || bucket AS list, id FROM ({REVLIFE.format('win')}) UNION ALL SELECT 'resolution_' || bucket, id FROM life UNION ALL SELECT 'lifecycle_' || bucket, id FROM life""",
         ),
-        "state_fingerprint_digest": (lambda s, d: st.fingerprint(R(s, d), E(s, d), J(s, d), T, V), None),
+        "state_fingerprint_digest": (lambda s, d: st.fingerprint(R(s, d), E(s, d), J(s, d), late(s, d), V), _digest()),
         "snapshot_fk_violations": (
-            lambda s, d: st.violations(tb.replicas(s, d)[1]).groupBy("code", "path").agg(F.count("*").alias("n")),
-            f"""WITH {MERGED} SELECT 'validation_failed' AS code, 'revisions.core_id' AS path, count(*) AS n FROM rb
-UNION ALL SELECT 'validation_failed', 'revisions.revision_id', count(*) FROM rb
+            lambda s, d: st.violations(tb.written_replicas(s, d)[1]).groupBy("code", "path").agg(F.count("*").alias("n")),
+            f"""WITH {MERGED} SELECT 'validation_failed' AS code, 'revisions.revision_id' AS path, count(*) AS n FROM rb
 UNION ALL SELECT 'validation_failed', 'relations.relation_id', count(*) FROM eb WHERE event_id % 89 = 0
-UNION ALL SELECT 'validation_failed', 'relations.endpoints', count(*) FROM eb WHERE NOT (from_revision_id IN (SELECT revision_id FROM rb) AND to_revision_id IN (SELECT revision_id FROM rb))""",
+UNION ALL SELECT 'validation_failed', 'cores.core_id', count(DISTINCT core_id) FROM rb WHERE core_id LIKE '0%'""",
         ),
         "canonicalize_text": (
             lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(ident.canonical("text"), 256).alias("hash")),

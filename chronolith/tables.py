@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identity as ident
+from .operators.asof import with_bucket
 from .operators.facts import Facts
+from .storage import written
+
+V = "2024-01-15"
+
+
+@cache
+def _last_tx(spark: SparkSession, d: str) -> int:
+    return load(spark, d, "events").agg(F.expr("max(event_id) div 100").alias("t")).first().t or 0  # one row
+
 
-T, T0, V = 60, 30, "2024-01-15"
+def late(spark: SparkSession, d: str) -> int:
+    """The standard transaction: at six tenths of the history, whatever its length."""
+    return _last_tx(spark, d) * 6 // 10
+
+
+def early(spark: SparkSession, d: str) -> int:
+    return _last_tx(spark, d) * 3 // 10
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +53,12 @@ def _rev(c):
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
     """An edge from each event to the next; every twentieth points to nothing."""
-    e = load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    n = e.selectExpr("event_id", "ts", "lead(event_id) OVER (ORDER BY ts, event_id) AS nxt").filter("nxt IS NOT NULL")
+    e = load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("hour", F.date_trunc("hour", "ts"))
+    # the next event is in the same hour, or the first of the next hour that has any: one row an hour is put in order
+    first = e.groupBy("hour").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    hours = first.select("hour", F.lead("first.event_id").over(Window.orderBy("hour")).alias("following"))
+    inside = F.lead("event_id").over(Window.partitionBy("hour").orderBy("ts", "event_id"))
+    n = e.withColumn("inside", inside).join(hours, "hour").select("event_id", "ts", F.coalesce("inside", "following").alias("nxt")).filter("nxt IS NOT NULL")
     kind = F.element_at(F.array(*map(F.lit, ("supports", "contradicts", "depends_on", "derived_from"))), (F.col("event_id") % 4 + 1).cast("int"))
     a = _rev(F.col("event_id"))
     b = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("missing-"), F.col("event_id").cast("string"))).otherwise(_rev(F.col("nxt")))
@@ -51,22 +73,43 @@ def replicas(spark: SparkSession, d: str) -> tuple[Facts, Facts]:
     a, b = F.col("event_id") % 3 != 0, F.col("event_id") % 3 != 1
     rb = r.filter(b).withColumn("confidence_bp", F.when(F.col("event_id") % 97 == 0, F.col("confidence_bp") + 1).otherwise(F.col("confidence_bp")))
     eb = e.filter(b).withColumn("tx_id", F.when(F.col("event_id") % 89 == 0, F.col("tx_id") + 1).otherwise(F.col("tx_id")))
-    cut = "event_id"
+    cut, c = "event_id", cores(spark, d)
+    other = F.when(F.col("core_id").substr(1, 1) == "0", F.lit("event.other")).otherwise(F.col("claim_type"))
     return (
-        Facts(empty.cores, r.filter(a).drop(cut), e.filter(a).drop(cut), empty.journal),
-        Facts(empty.cores, rb.drop(cut), eb.drop(cut), empty.journal),
+        Facts(c.join(r.filter(a), "core_id", "left_semi"), r.filter(a).drop(cut), e.filter(a).drop(cut), empty.journal),
+        Facts(c.join(rb, "core_id", "left_semi").withColumn("claim_type", other), rb.drop(cut), eb.drop(cut), empty.journal),
     )
 
 
+def cores(spark: SparkSession, d: str) -> DataFrame:
+    """The cores of `revisions`."""
+    e = load(spark, d, "events")
+    user = F.concat_ws(":", F.col("user_id").cast("string"), (F.col("event_id") % 20).cast("string"))
+    rows = e.select(user.alias("user")).distinct().select(F.lit("event.user").alias("claim_type"), F.create_map(F.lit("user"), "user").alias("slots"))
+    return rows.select(ident.core_id(F.col("claim_type"), F.col("slots")).alias("core_id"), "claim_type", "slots")
+
+
+@cache
+def bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The relations with their bucket, derived once a session and folder, and written."""
+    return written(with_bucket(relations(spark, d), revisions(spark, d)), "relations")
+
+
+@cache
+def written_replicas(spark: SparkSession, d: str) -> tuple[Facts, Facts]:
+    """`replicas`, derived once a session and folder, and written."""
+    return tuple(Facts(*(written(x, "replica") for x in (f.cores, f.revisions, f.relations)), f.journal) for f in replicas(spark, d))
+
+
+def doubled(spark: SparkSession, d: str) -> Facts:
+    """A store in which some ids occur twice."""
+    c, r, e, empty = cores(spark, d), revisions(spark, d), relations(spark, d), Facts.empty(spark)
+    seventh = F.col("event_id") % 7 == 0
+    twice = [x.unionByName(x.filter(some)) for x, some in ((c, F.col("core_id").startswith("0")), (r, seventh), (e, seventh))]
+    return Facts(twice[0], twice[1].drop("event_id"), twice[2].drop("event_id"), empty.journal)
+
+
 def journal(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders")
     code = F.expr("CASE o_orderstatus WHEN 'F' THEN 'competing_revision_same_slot' WHEN 'O' THEN 'orphan_relation_endpoint' ELSE 'revision_id_collision' END")
     return o.select(F.expr("o_orderkey div 100").alias("tx_id"), F.col("o_orderkey").alias("seq"), code.alias("code"), F.col("o_custkey").cast("string").alias("entity_id"), F.col("o_orderpriority").alias("details"))
-
-
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """revision_id, source, chunk_idx, text (a line of a document), doc_id, lang; blank lines are no chunks."""
-    docs = load(spark, d, "documents")
-    c = docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("chunk_idx", "text")).filter("trim(text) <> ''")
-    rid = F.sha2(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_idx").cast("string")), 256)
-    return c.select(rid.alias("revision_id"), "source", F.col("chunk_idx").cast("int").alias("chunk_idx"), "text", "doc_id", "lang")
