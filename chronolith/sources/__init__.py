@@ -1 +1 @@
-
+"""Files as tables of text."""

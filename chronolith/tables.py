@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identity as ident
+from .operators import corpus, graph, search
 from .operators.asof import with_bucket
 from .operators.facts import Facts
 from .storage import written
@@ -113,3 +114,66 @@ def journal(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders")
     code = F.expr("CASE o_orderstatus WHEN 'F' THEN 'competing_revision_same_slot' WHEN 'O' THEN 'orphan_relation_endpoint' ELSE 'revision_id_collision' END")
     return o.select(F.expr("o_orderkey div 100").alias("tx_id"), F.col("o_orderkey").alias("seq"), code.alias("code"), F.col("o_custkey").cast("string").alias("entity_id"), F.col("o_orderpriority").alias("details"))
+
+
+T_CHUNKS, T_BEFORE, V_CHUNKS = 40, 20, "2022-01-01"
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the documents as chunk revisions in the form of `corpus.view`; every eleventh document is retracted."""
+    docs = load(spark, d, "documents")
+    c = docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.posexplode(F.split("text", "\n")).alias("idx", "text")).filter(F.col("text").rlike("[^ \t\r]"))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("idx").cast("string"))
+    start = F.timestamp_seconds(1577836800 + F.col("doc_id") % 1500 * 86400)
+    rows = c.select(
+        F.sha2(F.concat(F.lit("chunk:"), name), 256).alias("revision_id"), F.sha2(F.concat(F.lit("chunkcore:"), name), 256).alias("core_id"), F.lit(corpus.CHUNK).alias("claim_type"),
+        F.lit(None).cast("map<string,string>").alias("slots"), "source", (F.col("doc_id") * 100000 + F.col("idx")).alias("chunk_idx"), F.expr("CAST(idx div 3 AS INT)").alias("page_start"), "text",
+        start.alias("vt_start"), F.when(F.col("doc_id") % 5 == 0, start + F.expr("INTERVAL 700 DAYS")).alias("vt_end"), (F.col("doc_id") % 50).alias("tx_id"),
+        F.timestamp_seconds(1704067200 + F.col("doc_id") * 3600).alias("recorded_at"), F.lit("lines").alias("provenance"), F.lit(None).cast("string").alias("evidence_ref"),
+        ((F.col("doc_id") * 37 + F.col("idx") * 101) % 10001).cast("int").alias("confidence_bp"), F.lit("asserted").alias("status"), "doc_id",
+    )
+    gone = rows.filter("doc_id % 11 = 0").withColumns({"revision_id": F.sha2(F.concat(F.lit("retract:"), "revision_id"), 256), "tx_id": F.col("tx_id") + 5, "status": F.lit("retracted")})
+    return rows.unionByName(gone)
+
+
+@cache
+def written_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return written(chunks(spark, d), "chunks")
+
+
+@cache
+def index(spark: SparkSession, d: str) -> search.Index:
+    """The index of the active chunks, built once a session and folder, and written."""
+    ix = search.index(corpus.active(written_chunks(spark, d)).select("revision_id", "text"))
+    return search.Index(written(ix.postings, "postings"), written(ix.vocabulary, "vocabulary"))
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in for trained clusters that SQL can express."""
+    return written_chunks(spark, d).filter("status = 'asserted' AND doc_id % 13 <> 0").select("revision_id", (F.col("doc_id") % 50).cast("int").alias("cluster"))
+
+
+@cache
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return written(graph.edges(index(spark, d), clusters(spark, d)), "edges")
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+@cache
+def hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return written(search.search(index(spark, d), questions(spark, d), k), "hits")
+
+
+def annotated(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks, and an annotation of the first line of each labelled document."""
+    y, c = load(spark, d, "labels").filter("doc_id IS NOT NULL"), written_chunks(spark, d)
+    tags = F.concat(F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, ", toxic").otherwise(""))
+    target = F.sha2(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"), F.lit(":0")), 256)
+    a = y.select(
+        F.sha2(F.concat(F.lit("note:"), F.col("doc_id").cast("string")), 256).alias("revision_id"), F.lit("dks.annotation@v1").alias("claim_type"),
+        F.create_map(F.lit("target"), target, F.lit("tags"), tags).alias("slots"), F.lit("unknown").alias("source"), F.lit("label").alias("text"), F.lit("asserted").alias("status"), "doc_id",
+    ).withColumn("core_id", F.col("revision_id"))
+    return c.unionByName(a, allowMissingColumns=True)

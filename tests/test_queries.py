@@ -3,9 +3,9 @@
 import pytest
 
 from chronolith.operators import asof
-from chronolith.plans import fact_queries
+from chronolith.plans import corpus_queries, fact_queries
 
-CATALOGUE = fact_queries.queries()
+CATALOGUE = fact_queries.queries() | corpus_queries.queries()
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in CATALOGUE.items() if sql])
