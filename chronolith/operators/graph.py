@@ -201,15 +201,24 @@ def entities(chunks: DataFrame, members: DataFrame | None = None, rejected: Data
 
 def entity_links(found: DataFrame, least: int = 2, most: int = 10) -> DataFrame:
     """src, dst, score, rank: chunks of different sources that share `least` entities or more; the score is the share
-    of the smaller list.  The band on document frequencies bounds how many chunks an entity has."""
-    size = found.groupBy("revision_id").agg(F.count("*").alias("n"))
-    a = found.select("entity", F.col("revision_id").alias("src"), F.col("source").alias("sa"))
-    b = found.select("entity", F.col("revision_id").alias("dst"), F.col("source").alias("sb"))
-    half = a.join(b, "entity").filter("src < dst AND sa <> sb").groupBy("src", "dst").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared"))
-    d = both.join(size.select(F.col("revision_id").alias("src"), F.col("n").alias("na")), "src").join(size.select(F.col("revision_id").alias("dst"), F.col("n").alias("nb")), "dst")
+    of the smaller list.
+
+    Two chunks that share `least` entities share one that isn't among the `least` - 1 most common of either, so only
+    the rest of each list leads to candidates; what they share is then counted on the lists, which are short.
+    """
+    found = written(found, "entities")
+    df = found.groupBy("entity").agg(F.count("*").alias("df"))
+    lists = found.join(df, "entity").groupBy("revision_id", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "entity"))), lambda x: x["entity"]).alias("l"))
+    lists = written(lists, "lists")
+    lead = lists.select("revision_id", "source", F.explode(F.slice("l", F.lit(1), F.greatest(F.size("l") - (least - 1), F.lit(0)))).alias("entity"))
+    a, b = (lead.withColumnsRenamed({"revision_id": x, "source": f"s_{x}"}) for x in ("src", "dst"))
+    pairs = a.join(b, "entity").filter("src < dst AND s_src <> s_dst").select("src", "dst").distinct()
+    for x in ("src", "dst"):
+        pairs = pairs.join(lists.select(F.col("revision_id").alias(x), F.col("l").alias(f"l_{x}")), x)
+    half = pairs.select("src", "dst", F.size(F.array_intersect("l_src", "l_dst")).alias("shared"), F.least(F.size("l_src"), F.size("l_dst")).alias("of")).filter(F.col("shared") >= least)
+    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared", "of"))
     order = Window.partitionBy("src").orderBy(F.desc("shared"), "dst")
-    return d.select("src", "dst", (F.col("shared") / F.least("na", "nb")).alias("score"), F.row_number().over(order).alias("rank")).filter(F.col("rank") <= most)
+    return both.select("src", "dst", (F.col("shared") / F.col("of")).alias("score"), F.row_number().over(order).alias("rank")).filter(F.col("rank") <= most)
 
 
 def review_entities(found: DataFrame, members: DataFrame, chunks: DataFrame, top: int = 50) -> DataFrame:

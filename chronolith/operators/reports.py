@@ -153,7 +153,7 @@ def search_by_tag(chunks: DataFrame, tag: str) -> DataFrame:
     return found.join(chunks.select("revision_id", "source", "text"), "revision_id")
 
 
-def claims(rows: DataFrame, claim_type: str, slots: Column, assertion: Column, tx_id: int, now: Column, source: str, confidence_bp: int = 10000) -> DataFrame:
+def claims(rows: DataFrame, claim_type: str | Column, slots: Column, assertion: Column, tx_id: int, now: Column, source: str, confidence_bp: int = 10000) -> DataFrame:
     """Rows for `facts.assert_revisions`: one claim a row, true from `now` on."""
     return rows.select(
         F.lit(claim_type).alias("claim_type"), slots.alias("slots"), assertion.alias("assertion"), now.alias("vt_start"), F.lit(None).cast("timestamp").alias("vt_end"), F.lit(tx_id).cast("long").alias("tx_id"),

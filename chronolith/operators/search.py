@@ -34,7 +34,8 @@ class Index:
 
 
 def _frequencies(texts: DataFrame, key: str) -> DataFrame:
-    return texts.select(key, F.explode(tx.grams(tx.content_words("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    words = texts.select(key, tx.content_words("text").alias("t"))  # a column of its own: lambdas would compute it for each word
+    return words.select(key, F.explode(tx.grams(F.col("t"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def _weights(tf: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:

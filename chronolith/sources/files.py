@@ -54,7 +54,7 @@ def pptx_text(data: bytes) -> str:
                 said = " ".join(filter(None, (_runs(p, f"{_A}t").strip() for p in ElementTree.fromstring(z.read(notes)).iter(f"{_A}p"))))
                 lines += [f"[Notes] {said}"] if said else []
             out.append("\n\n".join(filter(None, lines)))
-    return PAGE.join(out)
+    return f"\n{PAGE}\n".join(out)
 
 
 def pdf_text(data: bytes) -> str:
@@ -62,7 +62,7 @@ def pdf_text(data: bytes) -> str:
     import fitz
 
     with fitz.open(stream=data, filetype="pdf") as doc:
-        return PAGE.join(page.get_text() for page in doc)
+        return f"\n{PAGE}\n".join(page.get_text() for page in doc)
 
 
 def clean_pdf(text: Column | str) -> Column:
@@ -102,15 +102,16 @@ def read_folder(spark: SparkSession, folder: str, pattern: str | None = None) ->
     d = d.select("path", suffix.alias("kind"), "content").filter(F.col("kind").isin("", *_READERS, *TEXT))
     t = d.mapInPandas(_parse, "path string, kind string, text string, error string")
     text = F.when(F.col("kind") == "pdf", clean_pdf("text")).otherwise(F.col("text"))
-    return t.select("path", name.alias("source"), "kind", F.when(F.trim(text) != "", text).alias("text"), "error")
+    return t.select("path", name.alias("source"), "kind", F.when(text.rlike(r"\S"), text).alias("text"), "error")
 
 
 def with_pages(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """Chunk claims with the slot page_start: the page, from 1, on which the chunk's first 100 characters begin.
+    """Chunk claims with the slot page_start: the page, from 1, on which the chunk's first paragraph (of it
+    100 characters) begins.
 
     files: source, text with form feeds between pages.  A chunk whose start isn't found there has no page.
     """
-    at = F.instr(F.col("whole"), F.substring(F.col("assertion"), 1, 100))
+    at = F.instr(F.col("whole"), F.substring(F.substring_index("assertion", "\n\n", 1), 1, 100))
     page = F.size(F.split(F.substring(F.col("whole"), F.lit(1), at), PAGE))
     d = claims.join(files.select("source", F.col("text").alias("whole")), "source", "left")
     slots = F.when(at > 0, F.map_concat("slots", F.create_map(F.lit("page_start"), page.cast("string")))).otherwise(F.col("slots"))
