@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronolith.llm import minhash, mixing, packing, pii, toxicity
 from chronolith.llm.common import materialize
 
-SLOTS = 64  # of a stretch that stays together in the order of the schedule
+SLOTS = 8  # of a stretch that stays together in the order of the schedule
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
