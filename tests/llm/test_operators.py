@@ -49,7 +49,7 @@ def test_pack(odd, none):
 
 
 def test_mix_keeps_every_token_and_the_weights(odd, none):
-    got = mixing.mix(odd, block=64).collect()
+    got = mixing.mix(odd, block=1024).collect()
     seen = {(r.doc_id, r.source, r.start, r.n_tokens) for r in got}
     assert sum(n for d, _, _, n in seen if d == 5) == 180000
     assert {d for d, *_ in seen} == {1, 2, 5, None} and mixing.mix(none).count() == 0
