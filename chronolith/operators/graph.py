@@ -173,7 +173,7 @@ def entities(chunks: DataFrame, members: DataFrame | None = None, rejected: Data
     t = clean.select("revision_id", "source", tokens.alias("w"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,}\b"), F.lit(0))).alias("acr"))
     pairs = F.filter(tx.grams(F.col("w")), lambda g: F.contains(g, F.lit(" ")))
     kind = F.concat(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1).alias("kind"))), F.transform(pairs, lambda x: F.struct(x.alias("term"), F.lit(2).alias("kind"))), F.transform("acr", lambda x: F.struct(x.alias("term"), F.lit(3).alias("kind"))))
-    tf = t.select("revision_id", "source", F.explode(kind).alias("x")).groupBy("revision_id", "source", "x.term", "x.kind").agg(F.count("*").alias("tf"))
+    tf = t.select("revision_id", "source", F.explode_outer(kind).alias("x")).filter("x IS NOT NULL").groupBy("revision_id", "source", "x.term", "x.kind").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term", "kind").agg(F.count("*").alias("df"), F.countDistinct("source").alias("k")).crossJoin(F.broadcast(size))
     low = F.when(F.col("n") < 50, 2).otherwise(F.greatest(F.lit(3), F.floor(F.col("n") * 0.004)))
     high = F.greatest(low + 1, F.floor(F.col("n") * F.when(F.col("n") > 100, 0.1).otherwise(0.5)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import text as tx
+from ..storage import written
 from . import corpus
 
 FEATURES = 50000
@@ -34,8 +35,14 @@ class Index:
 
 
 def _frequencies(texts: DataFrame, key: str) -> DataFrame:
-    words = texts.select(key, tx.content_words("text").alias("t"))  # a column of its own: lambdas would compute it for each word
-    return words.select(key, F.explode(tx.grams(F.col("t"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf of each text: its terms are put in order and counted by the lengths of their runs, in its row."""
+    d = texts.select(key, tx.content_words("text").alias("t"))  # columns of their own: lambdas would compute them for each word
+    d = d.select(key, F.array_sort(tx.grams(F.col("t"))).alias("g"))
+    last = lambda i: (i <= F.size("g")) & ((i == F.size("g")) | (F.element_at("g", i) != F.get("g", i)))
+    d = d.select(key, "g", F.filter(F.sequence(F.lit(1), F.greatest(F.size("g"), F.lit(1))), last).alias("e"))
+    runs = F.transform("e", lambda i, j: F.struct(F.element_at("g", i).alias("term"), (i - F.when(j > 0, F.get("e", j - 1)).otherwise(0)).cast("long").alias("tf")))
+    # the outer form: for the other one Spark would put a filter on its size below, with all columns written out in it
+    return d.select(key, F.explode_outer(runs).alias("x")).filter("x IS NOT NULL").select(key, "x.term", "x.tf")
 
 
 def _weights(tf: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
@@ -50,7 +57,7 @@ def index(chunks: DataFrame, max_features: int | None = FEATURES) -> Index:
     Only the `max_features` terms with the most occurrences count (ties: the first in order).  That is a part of the
     ranking's definition; None keeps all.
     """
-    tf = _frequencies(chunks, "revision_id")
+    tf = written(_frequencies(chunks, "revision_id"), "frequencies")
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if max_features is not None:
         terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
@@ -70,7 +77,8 @@ def top(scored: DataFrame, k: int, least: float | None = 0.0) -> DataFrame:
 
 
 def query_weights(ix: Index, queries: DataFrame) -> DataFrame:
-    return _weights(_frequencies(queries, "qid"), ix.vocabulary, "qid")
+    tf = _frequencies(queries, "qid").groupBy("qid", "term").agg(F.sum("tf").alias("tf"))  # a qid may have several rows
+    return _weights(tf, ix.vocabulary, "qid")
 
 
 def scores(ix: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
