@@ -9,7 +9,7 @@ from . import asof
 from .facts import Facts, tainted
 
 CHUNK = "document.chunk@v1"
-INTERNAL = "dks."  # claim types of the library's own bookkeeping
+INTERNAL = "internal."  # claim types of the library's own bookkeeping
 BUCKET = 4096  # chunk numbers that are put in order together
 
 

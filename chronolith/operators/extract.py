@@ -151,4 +151,4 @@ def alias_claims(decisions: DataFrame) -> DataFrame:
     """Decisions as claims: claim_type, slots (surface, entity, method)."""
     d = decisions.filter("entity_id IS NOT NULL")
     slots = F.create_map(F.lit("surface"), "mention", F.lit("entity"), F.col("entity_id").cast("string"), F.lit("method"), "method")
-    return d.select(F.lit("dks.entity_alias@v1").alias("claim_type"), ident.canonical_slots(slots).alias("slots"), "confidence_bp")
+    return d.select(F.lit("internal.entity_alias@v1").alias("claim_type"), ident.canonical_slots(slots).alias("slots"), "confidence_bp")

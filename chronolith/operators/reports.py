@@ -10,7 +10,7 @@ from . import corpus
 from .facts import Facts, assert_revisions, retract, tainted
 
 SHORT, LONG, DOUBTFUL = 50, 2000, 3000
-ANNOTATION, REVIEW = "dks.annotation@v1", "dks.entity_review@v1"
+ANNOTATION, REVIEW = "internal.annotation@v1", "internal.entity_review@v1"
 
 
 def list_sources(chunks: DataFrame) -> DataFrame:

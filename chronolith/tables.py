@@ -173,7 +173,7 @@ def annotated(spark: SparkSession, d: str) -> DataFrame:
     tags = F.concat(F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, ", toxic").otherwise(""))
     target = F.sha2(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"), F.lit(":0")), 256)
     a = y.select(
-        F.sha2(F.concat(F.lit("note:"), F.col("doc_id").cast("string")), 256).alias("revision_id"), F.lit("dks.annotation@v1").alias("claim_type"),
+        F.sha2(F.concat(F.lit("note:"), F.col("doc_id").cast("string")), 256).alias("revision_id"), F.lit("internal.annotation@v1").alias("claim_type"),
         F.create_map(F.lit("target"), target, F.lit("tags"), tags).alias("slots"), F.lit("unknown").alias("source"), F.lit("label").alias("text"), F.lit("asserted").alias("status"), "doc_id",
     ).withColumn("core_id", F.col("revision_id"))
     return c.unionByName(a, allowMissingColumns=True)
