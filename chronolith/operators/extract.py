@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import identity as ident
 from .corpus import CHUNK
+from .search import small_batches
 
 SIZE, OVERLAP, LEAST = 800, 150, 10
 _PARAGRAPH, _SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
@@ -60,6 +61,7 @@ def chunk_claims(texts: DataFrame, tx_id: int, now: Column, confidence_bp: int =
 
     A text that gives no chunk is one, if it isn't blank.  Slots: source, chunk_idx and the first 200 characters.
     """
+    small_batches(texts.sparkSession)  # texts are of any length, and so are their chunks
     start = F.col("vt_start") if "vt_start" in texts.columns else now
     d = texts.select("source", start.alias("vt_start"), F.posexplode(chunked(F.col("text"), **sizes)).alias("i", "chunk"))
     slots = F.create_map(F.lit("source"), "source", F.lit("chunk_idx"), F.col("i").cast("string"), F.lit("text"), F.substring("chunk", 1, 200))
